@@ -7,13 +7,12 @@ of their tokens, whose substitution costs know the abbreviations.
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meridia.llm.addresskit import STREET_KINDS, TOWN_PREFIX, address, postcode, same_town, street_kind, towns
+from meridia.llm.minhash import band_keys
 from meridia.llm.namekit import close, fold
 from meridia.operators.snapshots import file_date
 from meridia.session import cut, table
@@ -25,27 +24,10 @@ BUCKET = 2_000
 GAP_OPEN, GAP_EXTEND = 0.6, 0.2
 #: The greatest cost at which two streets are one.
 MOST_COST = 1.0
-_SEEDS = np.random.default_rng(20240).integers(1, 1 << 62, size=BANDS * ROWS, dtype=np.int64).astype(np.uint64)
-
-
-def shingles(street: str) -> list[str]:
-    """The street's tokens and their padded 2-grams, folded."""
-    out = set()
-    for w in street.split():
-        f = f"^{fold(w)}$"
-        out.add(f)
-        out.update(f[i : i + 2] for i in range(len(f) - 1))
-    return sorted(out)
 
 
 def bands(street: str) -> list[int]:
-    h = np.array([xxhash.xxh64_intdigest(s) for s in shingles(street)], dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        x = (h[None, :] ^ _SEEDS[:, None]) * np.uint64(0x9E3779B97F4A7C15)
-        x ^= x >> np.uint64(29)
-        x *= np.uint64(0xBF58476D1CE4E5B9)
-    low = (x ^ (x >> np.uint64(32))).min(axis=1).reshape(BANDS, ROWS)
-    return [xxhash.xxh64_intdigest(f"{i}".encode() + r.tobytes()) - (1 << 63) for i, r in enumerate(low)]
+    return list(band_keys(street, 2, ROWS, BANDS))
 
 
 def substitution(a: str, b: str) -> float:
