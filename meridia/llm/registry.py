@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from meridia.llm import places, variants
+from meridia.llm import matching, places, survivors, variants
 
 
 def queries() -> dict:
-    return {"p5_found": variants.p5_found, "p6_found": places.p6_found}
+    return {"p1_found": matching.p1_found, "p1_scored": matching.p1_scored, "p4_found": survivors.p4_found, "p4_truth": survivors.p4_truth, "p5_found": variants.p5_found, "p6_found": places.p6_found}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"p4_found": survivors.P4_SQL}
