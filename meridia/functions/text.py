@@ -203,7 +203,7 @@ def email_key(col: Column) -> Column:
 
 
 def email_domain(col: Column) -> Column:
-    return F.when(F.instr(col, "@") > 0, F.lower(F.trim(F.regexp_extract(col, r"^[^@]*@(.*)$", 1))))
+    return F.when(F.instr(col, "@") > 0, F.lower(F.trim(F.regexp_extract(col, r"(?s)^[^@]*@(.*)$", 1))))
 
 
 def host_of(col: Column) -> Column:

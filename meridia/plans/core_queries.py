@@ -10,7 +10,7 @@ from meridia.functions import text as T
 from meridia.operators import dedupe, facets, geo, grouping, matching, merge, runs
 from meridia.operators.proximity import point_ok
 from meridia.operators.snapshots import file_date
-from meridia.session import table
+from meridia.session import cut, table
 from meridia.sources import files
 
 
@@ -133,11 +133,11 @@ def scored_matches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mutual_matches(spark: SparkSession, d: str) -> DataFrame:
-    return matching.mutual_best(matching.proposals(*_sides(spark, d))).select("cid", "hid", "score", "reason")
+    return matching.mutual_best(cut(matching.proposals(*_sides(spark, d)))).select("cid", "hid", "score", "reason")
 
 
 def match_reviews(spark: SparkSession, d: str) -> DataFrame:
-    found = matching.proposals(*_sides(spark, d))
+    found = cut(matching.proposals(*_sides(spark, d)))
     return matching.review_suggestions(found, matching.mutual_best(found))
 
 
@@ -227,7 +227,7 @@ def filled_counts(spark: SparkSession, d: str) -> DataFrame:
 def list_page(spark: SparkSession, d: str) -> DataFrame:
     g = facets.where_all(table(spark, d, "hotel_geo_candidates").dropDuplicates(["_id", "updatedat"]), matchstatus="UNMATCHED", componentid=None)
     found = facets.text_search(g, "royal", ["name", "normalizedname", "sourceproperties"])
-    return facets.page(found.select("_id", "name", "updatedat"), [F.desc("updatedat"), F.asc("_id")], "25", 10)
+    return facets.page(found.select("_id", "name", "updatedat"), [F.desc("updatedat"), F.asc("_id")], "25", 10).select("_id", "name")
 
 
 def adjacency(spark: SparkSession, d: str) -> DataFrame:
@@ -298,7 +298,7 @@ def nearest_beaches(spark: SparkSession, d: str) -> DataFrame:
 
 def representative_points(spark: SparkSession, d: str) -> DataFrame:
     m = geo.mean_point(geo.vertices(F.col("geometry"))).alias("m")
-    return table(spark, d, "beach_profiles").select("_id", "datasetversion", m).select("_id", "datasetversion", F.round("m.lng", 6).alias("lng"), F.round("m.lat", 6).alias("lat"))
+    return table(spark, d, "beach_profiles").select("_id", "datasetversion", m).select("_id", "datasetversion", F.round("m.lng", 9).alias("lng"), F.round("m.lat", 9).alias("lat"))
 
 
 def beach_routes(spark: SparkSession, d: str) -> DataFrame:
