@@ -84,6 +84,11 @@ def fold_in_order(df: DataFrame, block: list[str], order: str, fold: Callable[[l
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         rows = part.sort_values(order, kind="stable").astype(object).where(lambda d: d.notna(), None).to_dict("records")
-        return pd.DataFrame(fold(rows), columns=[c.strip().split()[0] for c in schema.split(",")])
+        out = pd.DataFrame(fold(rows), columns=[c.strip().split()[0] for c in schema.split(",")])
+        for c in schema.split(","):
+            name, kind = c.split()[:2]
+            if kind in ("int", "long", "bigint"):
+                out[name] = out[name].astype("Int64")
+        return out
 
     return df.groupBy(*block).applyInPandas(run, schema)

@@ -32,19 +32,29 @@ def radius_search(points: DataFrame, lng: float, lat: float, metres: float, limi
     return points.where(box).withColumn("metres", d).where(F.col("metres") <= metres).orderBy("metres", "id").limit(limit)
 
 
-def nearest(points: DataFrame, centres: DataFrame, k: int, start_m: float = 2_000.0) -> DataFrame:
+def usual_reach(centres: DataFrame, k: int) -> float:
+    """Metres within which a place among the centres has about k of them, by the area they span; one aggregate."""
+    b = centres.agg(F.count("*").alias("n"), *[f("lng").alias(f"{a}x") for a, f in (("lo", F.min), ("hi", F.max))], *[f("lat").alias(f"{a}y") for a, f in (("lo", F.min), ("hi", F.max))]).first()
+    if not b.n or b.n <= k:
+        return math.pi * SEARCH_M
+    metre = math.radians(1) * SEARCH_M
+    area = max(1.0, (b.hiy - b.loy) * metre) * max(1.0, (b.hix - b.lox) * metre * math.cos(math.radians((b.hiy + b.loy) / 2)))
+    return min(math.pi * SEARCH_M, max(50.0, 1.6 * math.sqrt(k * area / b.n / math.pi)))
+
+
+def nearest(points: DataFrame, centres: DataFrame, k: int, start_m: float | None = None) -> DataFrame:
     """(pid, cid, metres, rank): the k nearest centres of each point on the search sphere, equal distances by cid.
 
     points: pid, lng, lat; centres: cid, lng, lat. Each round finds all centres
-    within a radius by cells; points with at least k are done, the others go on
-    with four times the radius, until it spans the globe, when only a table of
+    within a radius by cells, the first one by their usual density; points with at least k are done, the others go on
+    with eight times the radius, until it spans the globe, when only a table of
     fewer than k centres is left unsatisfied. No point meets all centres unless
     they are fewer than k. Unusable coordinates never count; copies of an id
     count once.
     """
     c = centres.where(point_ok(F.col("lng"), F.col("lat"))).dropDuplicates(["cid"])
     left = points.where(point_ok(F.col("lng"), F.col("lat"))).dropDuplicates(["pid"]).select("pid", "lng", "lat")
-    metres, out = start_m, None
+    metres, out = start_m or usual_reach(c, k), None
     while True:
         # the search sphere is larger, so a disc on it is a smaller one in degrees
         reach = min(metres, math.pi * SEARCH_M)
@@ -64,7 +74,7 @@ def nearest(points: DataFrame, centres: DataFrame, k: int, start_m: float = 2_00
         left = cut(left.join(done.select("pid").distinct(), "pid", "left_anti"))
         if left.isEmpty():
             return out
-        metres *= 4
+        metres *= 8
 
 
 def geometry_kind(kind: Column) -> Column:

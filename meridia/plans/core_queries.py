@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from meridia.functions import keys as K
 from meridia.functions import text as T
-from meridia.operators import dedupe, facets, geo, grouping, matching, merge, runs
+from meridia.operators import dedupe, facets, geo, grouping, infile, matching, merge, runs
 from meridia.operators.proximity import point_ok
 from meridia.operators.snapshots import file_date
 from meridia.session import cut, table
@@ -182,6 +182,11 @@ def strong_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return one.join(first, ["ident", "token"]).where("seq > first_seq").select("first_seq", "seq").distinct()
 
 
+def resolved_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Each file's rows after resolution in reading order."""
+    return infile.resolve_in_file(table(spark, d, "raw_hotels")).select("filename", "seq", "merged", "name", "address", "locality", "rooms", "beds", F.array_join("phones", ",").alias("phones"))
+
+
 def survivor_merge(spark: SparkSession, d: str) -> DataFrame:
     """One record of each group: the operator of the first row that has one, the most telling location, all contacts, strict sums."""
     e, g = table(spark, d, "hotel_registry_entries").dropDuplicates(["_id"]), table(spark, d, "registry_duplicates")
@@ -392,7 +397,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         text_names, text_keys, canonical_keys, name_class_repair, location_repair, contact_keys, phone_scan, website_kinds, suffix_numbers, address_forms, file_names, beach_types,
-        scored_matches, mutual_matches, match_reviews, match_suggestions, unmatched_hotels, dedupe_last, dedupe_first, soft_conflicts, strong_duplicates, survivor_merge, capacity_merge,
+        scored_matches, mutual_matches, match_reviews, match_suggestions, unmatched_hotels, dedupe_last, dedupe_first, soft_conflicts, strong_duplicates, resolved_rows, survivor_merge, capacity_merge,
         quality_issues, strict_sums, facet_stats, filled_counts, list_page, adjacency, recent_runs, clique_groups, shadow_aggregates, capacity_collapse, similar_addresses, edge_distances,
         radius_search, nearest_beaches, representative_points, beach_routes, hash_diff_upsert, upsert_counts, upsert_snapshot, stale_marks, fill_merge, version_publish, lease_rows,
         run_progress, page_ranges, discovered_files, fresh_files, stream_upsert,
