@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def _one(df: DataFrame, keys: list[str], order: str, pick: Callable[[Column, Column], Column]) -> DataFrame:
@@ -78,17 +80,28 @@ def merge_capacity(old_rooms: Column, old_beds: Column, new_rooms: Column, new_b
 def fold_in_order(df: DataFrame, block: list[str], order: str, fold: Callable[[list[dict]], list[dict]], schema: str) -> DataFrame:
     """Each block's rows, by order, through a fold in which later rows see what earlier ones left; for semantics that depend on order alone.
 
-    A block is one task's work, so it must be small by nature, as a name or a
-    (file, name) is; whole files or sources belong to other operators.
+    Rows come sorted to the partitions, which read them in batches and hold one
+    block at a time. A block is small by nature, as a name of one file is;
+    whole files or sources belong to other operators. Null is a block of its own.
     """
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        rows = part.sort_values(order, kind="stable").astype(object).where(lambda d: d.notna(), None).to_dict("records")
-        out = pd.DataFrame(fold(rows), columns=[c.strip().split()[0] for c in schema.split(",")])
-        for c in schema.split(","):
-            name, kind = c.split()[:2]
-            if kind in ("int", "long", "bigint"):
-                out[name] = out[name].astype("Int64")
-        return out
-
-    return df.groupBy(*block).applyInPandas(run, schema)
+    target = StructType.fromDDL(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out_type = to_arrow_schema(target)
+        at, held = None, []
+
+        def done() -> list[dict]:
+            return fold(held) if held else []
+
+        for batch in batches:
+            out: list[dict] = []
+            for row in batch.to_pylist():
+                key = tuple(row[c] for c in block)
+                if key != at:
+                    out += done()
+                    at, held = key, []
+                held.append(row)
+            yield pa.RecordBatch.from_pylist(out, schema=out_type)
+        yield pa.RecordBatch.from_pylist(done(), schema=out_type)
+
+    return df.repartition(*block).sortWithinPartitions(*block, order).mapInArrow(run, schema)
