@@ -60,3 +60,17 @@ def test_pairs(spark, monkeypatch):
 def test_latest(spark):
     raw = spark.createDataFrame([(1, "a", ("hotels_a_1.2.2024.pdf",)), (2, "a", ("A_Hotels_10.1.2025-final.pdf",)), (3, "b", ("hotels_b_1.1.2023.pdf",)), (4, "b", ("x.pdf",))], "seq int, region string, sourcefile struct<filename:string>")
     assert {r.seq for r in P.latest_files(raw).collect()} == {2, 3}
+
+
+def test_recall_of_bands():
+    import random
+
+    rnd = random.Random(6)
+    letters = "abdefghiklmnoprstuvz"
+    met = 0
+    for _ in range(400):
+        w = "".join(rnd.choice(letters) for _ in range(rnd.randint(7, 10))).upper()
+        i = rnd.randrange(len(w) - 1)
+        v = rnd.choice([w[:i] + w[i + 1 :], w[:i] + w[i + 1] + w[i] + w[i + 2 :], w[:i] + "X" + w[i:], w[:i] + "X" + w[i + 1 :]])
+        met += bool(set(P.bands(w)) & set(P.bands(v)))
+    assert met >= 396
