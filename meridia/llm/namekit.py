@@ -94,7 +94,7 @@ def hotel_word(word: str) -> str | None:
 
 
 #: Short forms that no core ends with by nature.
-_JOINED_SHORT = {"HBR": "HARBOUR", "HTS": "HEIGHTS", "BCH": "BEACH", "CSTL": "CASTLE", "GDNS": "GARDENS", "CRT": "COURT", "RYL": "ROYAL", "PLC": "PALACE", "HTL": "HOTEL", "HSTL": "HOSTEL"}
+_JOINED_SHORT = {"HBR": "HARBOUR", "HTS": "HEIGHTS", "BCH": "BEACH", "CSTL": "CASTLE", "GDNS": "GARDENS", "CRT": "COURT", "RYL": "ROYAL", "PLC": "PALACE", "HTL": "HOTEL", "HSTL": "HOSTEL", "PK": "PARK"}
 
 
 def _split_joined(word: str) -> list[str]:
@@ -182,6 +182,7 @@ def operator_name(text: str) -> tuple[str, str, str] | None:
     t = re.sub(r"\bL\s*\.\s*T\s*\.\s*D\b\.?", " LTD ", t)
     t = re.sub(r"\bM\s*/\s*S\b", " ", t)
     t = re.sub(r"&", " AND ", t)
+    t = re.sub(r"\bT\s*\.?\s+(?=ENT)", "TOURIST ", t)
     words = [w for w in re.split(r"[^A-Z0-9Ͱ-Ͽ]+", t) if w]
     legal = any(w in ("LTD", "LIMITED", "CO", "COMPANY", "PUBLIC", "LLC") for w in words)
     words = [w for w in words if w not in TITLES and w not in LEGAL]

@@ -163,8 +163,8 @@ def place_classes(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     judged = cut(full_pairs.withColumn("verdict", kind).where("verdict > 0"))
     # a place without a known town joins only where all its likes lie in one town
     known = lambda s, o: judged.where("verdict = 1").select(F.col(s).alias("place"), F.col("code" + o).alias("code"), F.col("town" + o).alias("town"))
-    likes = known("a", "b").unionAll(known("b", "a")).where("code <> '' or town <> ''").groupBy("place").agg(F.size(F.collect_set(F.when(F.col("town") != "", F.col("town")).otherwise(F.col("code")))).alias("towns"))
-    several = likes.where("towns > 1").select("place")
+    likes = known("a", "b").unionAll(known("b", "a")).where("code <> '' or town <> ''").withColumn("at", F.when(F.col("town") != "", F.col("town")).otherwise(F.col("code"))).groupBy("place").agg(F.min("at").alias("low"), F.max("at").alias("high"))
+    several = likes.where("low <> high").select("place")
     sure = judged.where("verdict = 2").select("a", "b")
     guess = judged.where("verdict = 1").select("a", "b").join(several, F.col("a") == F.col("place"), "left_anti").join(several, F.col("b") == F.col("place"), "left_anti")
     return keyed.select("row", "place"), sure.unionAll(guess)
