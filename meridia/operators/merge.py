@@ -72,3 +72,28 @@ def choose_release(releases: DataFrame, key: str | None = None, version: int | N
     if version is not None:
         return releases.where(F.col("version") == version)
     return releases.where("status = 'published'").orderBy(F.desc("published_at"), F.desc("version")).limit(1)
+
+
+def resolve_targets(records: DataFrame, known: DataFrame, facts: list[str], lists: list[str]) -> DataFrame:
+    """(rid, kid, how): the known record each new one belongs to: 'exact' by key; else 'alike', the only one of the same name and kind that shares a fact; 'ambiguous' (kid null) if there are several, 'new' if none.
+
+    records: rid, key, name, kind, the facts (texts) and lists (arrays of
+    texts); known: kid and the same. Null and empty facts are shared with none,
+    null names and kinds belong to no other. Several known records of one key
+    are ambiguous too. A shared fact is a join key of its own, so a frequent
+    name is no nested loop.
+    """
+    exact = known.groupBy("key").agg(F.min("kid").alias("_k"), F.count_distinct("kid").alias("_n"))
+    by_key = records.select("rid", "key").join(exact, "key").select("rid", F.when(F.col("_n") == 1, F.col("_k")).alias("kid"), F.when(F.col("_n") == 1, "exact").otherwise("ambiguous").alias("how"))
+
+    def shared(df: DataFrame, ident: str) -> DataFrame:
+        tokens = [F.when(F.col(f) != "", F.array(F.concat(F.lit(f"{f}:"), F.col(f)))) for f in facts]
+        tokens += [F.transform(F.filter(F.col(x), lambda v: v != ""), lambda v: F.concat(F.lit("list:"), v)) for x in lists]
+        none = F.array().cast("array<string>")
+        return df.select(ident, "name", "kind", F.explode(F.array_distinct(F.concat(*[F.coalesce(t, none) for t in tokens]))).alias("_t"))
+
+    rest = records.join(by_key.select("rid"), "rid", "left_anti")
+    met = shared(rest, "rid").join(shared(known, "kid"), ["name", "kind", "_t"]).groupBy("rid").agg(F.min("kid").alias("_lo"), F.max("kid").alias("_hi"))
+    one = F.col("_lo") == F.col("_hi")
+    by_fact = rest.select("rid").join(met, "rid", "left").select("rid", F.when(one, F.col("_lo")).alias("kid"), F.when(F.col("_lo").isNull(), "new").when(one, "alike").otherwise("ambiguous").alias("how"))
+    return by_key.unionByName(by_fact)

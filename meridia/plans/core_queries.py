@@ -342,6 +342,18 @@ def fill_merge(spark: SparkSession, d: str) -> DataFrame:
     return merge.fill_merge(_beach(spark, d, 1), _beach(spark, d, 4), "_id", ["label"], ["surface", "status"])
 
 
+def resolved_targets(spark: SparkSession, d: str) -> DataFrame:
+    """The canonical hotel each ready registry entry belongs to, by key, or by name and a shared fact."""
+    fold = lambda c: F.when(T.name_text(F.col(c)) != "", T.name_text(F.col(c)))
+    loc = [fold("location.address").alias("address"), F.when(T.postcode_key(F.col("location.postcode")) != "", T.postcode_key(F.col("location.postcode"))).alias("postcode"), fold("operator").alias("operator")]
+    lists = [F.col("contacts.phones").alias("phones"), F.col("contacts.emails").alias("mails")]
+    key = lambda n: K.joined(T.hotel_name(F.col(n)), T.postcode_key(F.col("location.postcode")), T.name_text(F.col("location.address"))).alias("key")
+    e = table(spark, d, "hotel_registry_entries").where("status = 'ready'").dropDuplicates(["_id"])
+    records = e.select(F.col("_id").alias("rid"), key("name.original"), T.hotel_name(F.col("name.original")).alias("name"), F.lit("hotel").alias("kind"), *loc, *lists)
+    known = table(spark, d, "canonical_hotels").select(F.col("_id").alias("kid"), key("canonicalname"), T.hotel_name(F.col("canonicalname")).alias("name"), F.lit("hotel").alias("kind"), *loc, *lists)
+    return merge.resolve_targets(records, known, ["address", "postcode", "operator"], ["phones", "mails"])
+
+
 def version_publish(spark: SparkSession, d: str) -> DataFrame:
     now = F.to_timestamp(F.lit("2026-01-02 03:04:05"))
     v = table(spark, d, "beach_profiles").select(F.lit("beaches").alias("dataset"), F.col("datasetversion").cast("int").alias("version")).distinct().withColumn("status", F.lit("published")).withColumn("created_at", now).withColumn("published_at", now)
@@ -399,7 +411,7 @@ QUERIES = {
         text_names, text_keys, canonical_keys, name_class_repair, location_repair, contact_keys, phone_scan, website_kinds, suffix_numbers, address_forms, file_names, beach_types,
         scored_matches, mutual_matches, match_reviews, match_suggestions, unmatched_hotels, dedupe_last, dedupe_first, soft_conflicts, strong_duplicates, resolved_rows, survivor_merge, capacity_merge,
         quality_issues, strict_sums, facet_stats, filled_counts, list_page, adjacency, recent_runs, clique_groups, shadow_aggregates, capacity_collapse, similar_addresses, edge_distances,
-        radius_search, nearest_beaches, representative_points, beach_routes, hash_diff_upsert, upsert_counts, upsert_snapshot, stale_marks, fill_merge, version_publish, lease_rows,
+        radius_search, nearest_beaches, representative_points, beach_routes, hash_diff_upsert, upsert_counts, upsert_snapshot, stale_marks, fill_merge, resolved_targets, version_publish, lease_rows,
         run_progress, page_ranges, discovered_files, fresh_files, stream_upsert,
     )
 }

@@ -263,6 +263,14 @@ SQL = {
         from {_BEACH.format(1)} o full join {_BEACH.format(4)} n on o._id = n._id""",
     "stale_marks": f"select _id, _id not in (select _id from {_BEACH.format(4)}) as stale from {_BEACH.format(1)}",
     "fill_merge": f"select coalesce(o._id, n._id) as _id, coalesce(o.label, n.label) as label, coalesce(n.surface, o.surface) as surface, coalesce(n.status, o.status) as status from {_BEACH.format(1)} o full join {_BEACH.format(4)} n on o._id = n._id",
+    "resolved_targets": f"""with r as (select distinct on (_id) _id as rid, {_j(_hn('name.original'), _pc('location.postcode'), _nt('location.address'))} as key, {_hn('name.original')} as name, nullif({_nt('location.address')}, '') as a, nullif({_pc('location.postcode')}, '') as p,
+          nullif({_nt('operator')}, '') as o, list_filter(contacts.phones || contacts.emails, lambda x: x <> '') as c from hotel_registry_entries where status = 'ready'),
+        k as (select _id as kid, {_j(_hn('canonicalname'), _pc('location.postcode'), _nt('location.address'))} as key, {_hn('canonicalname')} as name, nullif({_nt('location.address')}, '') as a, nullif({_pc('location.postcode')}, '') as p, nullif({_nt('operator')}, '') as o,
+          list_filter(contacts.phones || contacts.emails, lambda x: x <> '') as c from canonical_hotels),
+        e as (select rid, count(*) as n, min(kid) as kid from r join k using (key) group by rid),
+        f as (select r.rid, count(distinct k.kid) as n, min(k.kid) as kid from r join k on r.name = k.name and (r.a = k.a or r.p = k.p or r.o = k.o or len(list_intersect(r.c, k.c)) > 0) where r.rid not in (select rid from e) group by 1)
+        select r.rid, case when e.n = 1 then e.kid when e.n is null and f.n = 1 then f.kid end as kid, case when e.n = 1 then 'exact' when e.n > 1 then 'ambiguous' when f.n = 1 then 'alike' when f.n > 1 then 'ambiguous' else 'new' end as how
+        from r left join e on e.rid = r.rid left join f on f.rid = r.rid""",
     "version_publish": "select 'beaches' as dataset, unnest(list_distinct(list(datasetversion)) || [max(datasetversion) + 1])::int as version, 'published' as status from beach_profiles",
     "lease_rows": """select _id, processing.status as status from raw_hotels where processing.status = 'pending' or (processing.status = 'claimed' and processing.claimedat::timestamp < timestamp '2025-12-31 23:30:00') order by _id limit 50""",
     "run_progress": """with g as (select runid, count(*) filter (status <> 'failed') as done, count(*) as total from (select distinct on (_id) * from hotel_beach_access_edges) group by 1)

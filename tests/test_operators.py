@@ -149,3 +149,11 @@ def test_leases(spark):
     df = spark.createDataFrame([(f"{i}", None, None, "pending" if i % 2 else "done") for i in range(9)], "id string, run_id string, claimed_at timestamp, status string")
     got = runs.lease(df, "id", 2, "r", F.to_timestamp(F.lit("2026-01-01")), F.col("status") == "pending")
     assert [r.id for r in got.where("run_id = 'r'").orderBy("id").collect()] == ["1", "3"] and got.count() == 9
+
+
+def test_resolve_targets(spark):
+    cols = "key string, name string, kind string, address string, phones array<string>"
+    known = spark.createDataFrame([("k1", "1", "A", "h", "x", ["p"]), ("k2", "2", "A", "h", "y", ["p"]), ("k3", "3", "B", "h", None, []), ("k4", "3", "C", "h", "z", None)], "kid string, " + cols)
+    new = spark.createDataFrame([("r1", "1", "A", "h", "x", ["p"]), ("r2", "9", "A", "h", "y", []), ("r3", "9", "A", "h", None, ["p"]), ("r4", "9", "B", "h", "", [""]), ("r5", "3", "B", "h", None, None), ("r6", None, None, "h", "x", ["p"])], "rid string, " + cols)
+    got = {r.rid: (r.kid, r.how) for r in merge.resolve_targets(new, known, ["address"], ["phones"]).collect()}
+    assert got == {"r1": ("k1", "exact"), "r2": ("k2", "alike"), "r3": (None, "ambiguous"), "r4": (None, "new"), "r5": (None, "ambiguous"), "r6": (None, "new")}
