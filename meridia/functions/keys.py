@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from meridia.functions.text import address_form, hotel_name, identity_text, name_match_key, name_text, phone_key, plain_text, postcode_key, reduced_name  # noqa: F401
+from meridia.functions.text import hotel_name, identity_text, name_match_key, name_text, phone_key, plain_text, postcode_key
 
 
 def joined(*cols: Column, sep: str = "|") -> Column:
