@@ -16,7 +16,6 @@ from collections.abc import Iterator
 import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from meridia.session import table
 
