@@ -14,6 +14,10 @@ from meridia.session import cut, table
 from meridia.sources import files
 
 
+#: Beaches of each hotel point, and those that routes are computed to (the reference's HOTEL_BEACH_ACCESS_NEAREST_BEACH_LIMIT).
+NEAREST_BEACHES = 20
+
+
 def text_names(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("name")
     made = {"name_text": T.name_text(n), "plain": T.plain_text(n), "match": T.match_name(n), "reduced": T.reduced_name(n), "hotel": T.hotel_name(n), "match_key": T.name_match_key(n), "ident": T.identity_text(F.col("operatorname")), "place": T.place_text(F.col("locality"))}
@@ -301,16 +305,22 @@ def nearest_beaches(spark: SparkSession, d: str) -> DataFrame:
     return geo.nearest(points, beaches, 5).select("pid", "cid", F.round("metres", 3).alias("metres"), "rank")
 
 
+def hotel_beaches(spark: SparkSession, d: str) -> DataFrame:
+    """The beaches of each point that its routes are computed to."""
+    points, beaches = _points(spark, d)
+    return geo.nearest(points, beaches, NEAREST_BEACHES).select("pid", "cid", F.round("metres", 3).alias("metres"), "rank")
+
+
 def representative_points(spark: SparkSession, d: str) -> DataFrame:
     m = geo.mean_point(geo.vertices(F.col("geometry"))).alias("m")
     return table(spark, d, "beach_profiles").select("_id", "datasetversion", m).select("_id", "datasetversion", F.round("m.lng", 9).alias("lng"), F.round("m.lat", 9).alias("lat"))
 
 
 def beach_routes(spark: SparkSession, d: str) -> DataFrame:
-    """The shortest straight walk from each point to its two nearest beaches, with alternatives."""
+    """The shortest straight walk from each point to each of its nearest beaches, with alternatives."""
     points, beaches = _points(spark, d)
     shape = table(spark, d, "beach_profiles").where("datasetversion = 4").dropDuplicates(["_id"]).select(F.col("_id").alias("cid"), "geometry", geo.geometry_kind(F.get_json_object("geometry", "$.type")).alias("kind"))
-    n = geo.nearest(points, beaches, 2).join(points, "pid").join(beaches.select("cid", F.col("lng").alias("blng"), F.col("lat").alias("blat")), "cid").join(shape, "cid")
+    n = geo.nearest(points, beaches, NEAREST_BEACHES).join(points, "pid").join(beaches.select("cid", F.col("lng").alias("blng"), F.col("lat").alias("blat")), "cid").join(shape, "cid")
     t = n.withColumn("t", F.explode(geo.target_points(F.col("kind"), F.col("geometry"), F.col("blng"), F.col("blat"), F.col("lng"), F.col("lat"))))
     r = geo.best_routes(t.select("pid", "cid", "lng", "lat", F.get("t", F.lit(0)).alias("to_lng"), F.get("t", F.lit(1)).alias("to_lat")), ["pid", "cid"])
     return r.select("pid", "cid", "metres", "seconds", F.array_join(F.transform("alternatives", lambda x: x.cast("string")), ",").alias("alternatives"))
@@ -411,7 +421,7 @@ QUERIES = {
         text_names, text_keys, canonical_keys, name_class_repair, location_repair, contact_keys, phone_scan, website_kinds, suffix_numbers, address_forms, file_names, beach_types,
         scored_matches, mutual_matches, match_reviews, match_suggestions, unmatched_hotels, dedupe_last, dedupe_first, soft_conflicts, strong_duplicates, resolved_rows, survivor_merge, capacity_merge,
         quality_issues, strict_sums, facet_stats, filled_counts, list_page, adjacency, recent_runs, clique_groups, shadow_aggregates, capacity_collapse, similar_addresses, edge_distances,
-        radius_search, nearest_beaches, representative_points, beach_routes, hash_diff_upsert, upsert_counts, upsert_snapshot, stale_marks, fill_merge, resolved_targets, version_publish, lease_rows,
+        radius_search, nearest_beaches, hotel_beaches, representative_points, beach_routes, hash_diff_upsert, upsert_counts, upsert_snapshot, stale_marks, fill_merge, resolved_targets, version_publish, lease_rows,
         run_progress, page_ranges, discovered_files, fresh_files, stream_upsert,
     )
 }

@@ -254,6 +254,7 @@ SQL = {
         select _id, metres, ceil(metres / 1.25)::bigint as seconds from e""",
     "radius_search": f"with {_POINTS} select pid as id, round(m, 3) as metres from (select pid, {_hav('33.0', '35.0', 'x', 'y', 6378100)} as m from okp) where m <= 10000 order by m, pid limit 50",
     "nearest_beaches": f"with {_POINTS}, k as ({_KNN}) select pid, cid, round(m, 3) as metres, rank::int as rank from k where rank <= 5",
+    "hotel_beaches": f"with {_POINTS}, k as ({_KNN}) select pid, cid, round(m, 3) as metres, rank::int as rank from k where rank <= 20",
     "representative_points": """with v as (select _id, datasetversion, geometry, from_json(('[' || regexp_replace(regexp_replace(json_extract(geometry::json, '$.coordinates')::varchar, '[\\[\\]]', '', 'g'), '\\s', '', 'g') || ']')::json, '["DOUBLE"]') as c from beach_profiles)
         select _id, datasetversion, round(list_avg(list_filter(c, lambda x, i: i % 2 = 1)), 9) as lng, round(list_avg(list_filter(c, lambda x, i: i % 2 = 0)), 9) as lat from v""",
     "hash_diff_upsert": f"select _id, action from {_DIFF.format(3)}",
