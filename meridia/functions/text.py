@@ -14,12 +14,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words and patterns that decide results.
-CLASS_MARKERS = r"(?:\s+(?:[1-5]\s*\*|[ABC]\s*'|N[/\s]A|[ΑΆ]ΝΕΥΑ?|WITHOUT\s+STAR))+$"
+CLASS_MARKERS = r"(?:\s+(?:(?:5|4|3|2|1)\s*\*|[ABC]\s*'|N(?:\s*\/\s*|\s+)A|ΑΝΕΥ\s*Α?|ΆΝΕΥ\s*Α?|WITHOUT\s+STAR))+$"
 GENERIC_SUFFIXES = ("HOTEL", "HOTELS", "APARTMENT", "APARTMENTS", "APTS", "APT", "SUITE", "SUITES", "RESIDENCE", "BOUTIQUE")
 STOP_WORDS = ("AND", "APARTMENT", "APARTMENTS", "APT", "APTS", "BEACH", "BOUTIQUE", "BY", "GUEST", "GUESTHOUSE", "HOLIDAY", "HOSTEL", "HOTEL", "HOTELS", "HOUSE", "RESORT", "SPA", "SUITE", "SUITES", "THE", "VILLAGE")
 STREET_WORDS = ("AVENUE", "STREET", "ROAD", "LANE", "DRIVE", "BOULEVARD", "SQUARE", "COURT", "PLACE", "CRESCENT", "WAY", "LEOFOROS", "ODOS")
 SHARED_EXACT = ("atlanticahotels.com", "kanikahotels.com", "leonardo-hotels-cyprus.com", "leonardo-hotels.com", "leonardo-hotels.co", "louis-hotels.com", "louishotels.com", "tsokkos.com")
-SHARED_SUFFIX = ("atlanticahotels.com", "kanikahotels.com", "leonardo-hotels-cyprus.com", "leonardo-hotels.com", "louis-hotels.com", "louishotels.com", "tsokkos.com", "booking.com", "expedia.com", "ihg.com", "marriott.com", "radissonhotels.com")
+SHARED_SUFFIX = (
+    "atlanticahotels.com", "booking.com", "expedia.com", "ihg.com", "kanikahotels.com", "leonardo-hotels-cyprus.com",
+    "leonardo-hotels.com", "louis-hotels.com", "louishotels.com", "marriott.com", "radissonhotels.com", "tsokkos.com",
+)
 SOCIAL_HOSTS = ("facebook.com", "instagram.com", "linkedin.com", "tiktok.com", "x.com")
 AGGREGATOR_HOSTS = ("booking.com", "expedia.com", "hotels.com", "tripadvisor.com")
 
@@ -53,7 +56,7 @@ _PUNCTUATION = r"[.,;:()\[\]{}/\\\-–—]"
 
 def name_text(col: Column) -> Column:
     """Names for keys: quotes made straight, & as AND, punctuation as blanks, upper case. Null gives ''."""
-    t = F.regexp_replace(F.regexp_replace(compat(F.coalesce(col, F.lit(""))), "[‘’‚‛`´]", "'"), "&", " AND ")
+    t = F.regexp_replace(F.regexp_replace(compat(F.coalesce(col, F.lit(""))), "[’‘`´]", "'"), "&", " AND ")
     return F.upper(squeeze(F.regexp_replace(t, _PUNCTUATION, " ")))
 
 
@@ -168,32 +171,27 @@ def phone_match(col: Column) -> Column:
     return F.when(d == "", F.lit(None)).when(F.length(d) == 8, F.concat(F.lit("357"), d)).otherwise(d)
 
 
-def scan_phones(text: str) -> list[str]:
-    """The local numbers, [29] and seven digits, in a run of digits and signs, with +357, each once in order.
+_LOCAL = "[29][0-9]{7}"
 
-    A country code before a number may be written +357, 00357, 357, +367 by
-    mistake, or a bare plus. What starts no number is passed over one character
-    at a time; from an unreadable plus it goes on at the next plus.
+
+def phones_in(cells: Column) -> Column:
+    """The local numbers, [29] and seven digits, in an array of cells, with +357, each once in order; null gives [].
+
+    A cell is cut at , ; / & and line ends first, so digits never run on from
+    one number to the next. Within a piece a country code may be written +357,
+    00357, 357, +367 by mistake, or a bare plus. What follows a plus counts only
+    if a number starts right there; elsewhere numbers are found at any digit.
     """
-    s = "".join(c for c in text if c.isdigit() or c == "+").replace("+367", "+357")
-    out: list[str] = []
-    at = 0
-    while at < len(s):
-        for lead in ("+357", "00357", "357", "+", ""):
-            local = s[at + len(lead) : at + len(lead) + 8]
-            if s.startswith(lead, at) and len(local) == 8 and local.isdigit() and local[0] in "29":
-                out.append("+357" + local)
-                at += len(lead) + 8
-                break
-        else:
-            following = s.find("+", at + 1) if s[at] == "+" else at + 1
-            at = following if following > 0 else len(s)
-    return list(dict.fromkeys(out))
-
-
-def phones_in(col: Column) -> Column:
-    """array<string> of scan_phones; null gives []."""
-    return F.pandas_udf(lambda s: pd.Series([scan_phones(t) if t else [] for t in s]), "array<string>")(col)
+    mended = lambda v: F.regexp_replace(F.regexp_replace(v, r"\+367", "+357"), r"(?U)00\s*357", "+357")
+    pieces = F.flatten(F.transform(F.filter(cells, lambda v: v.isNotNull()), lambda v: F.split(mended(v), r"[,;/&\n\r]+")))
+
+    def found(piece: Column) -> Column:
+        runs = F.split(F.regexp_replace(piece, r"[^0-9+]", ""), r"\+", -1)
+        open_ = F.filter(runs, lambda r, i: (i == 0) | r.rlike(f"^(?:357)?{_LOCAL}"))
+        return F.flatten(F.transform(open_, lambda r: F.regexp_extract_all(r, F.lit(f"(?:00357|357)?({_LOCAL})"), F.lit(1))))
+
+    numbers = F.transform(F.flatten(F.transform(pieces, found)), lambda n: F.concat(F.lit("+357"), n))
+    return F.coalesce(F.array_distinct(numbers), F.array().cast("array<string>"))
 
 
 def email_key(col: Column) -> Column:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from meridia.operators.proximity import EARTH_M, disc_boxes, haversine_m, point_ok, points_in_regions
+from meridia.operators.pairing import blocked_join
+from meridia.operators.proximity import EARTH_M, haversine_m, point_ok
 from meridia.session import cut
 
 #: The sphere of index searches is a little larger than that of walking distances.
@@ -32,49 +33,77 @@ def radius_search(points: DataFrame, lng: float, lat: float, metres: float, limi
     return points.where(box).withColumn("metres", d).where(F.col("metres") <= metres).orderBy("metres", "id").limit(limit)
 
 
-def usual_reach(centres: DataFrame, k: int) -> float:
-    """Metres within which a place among the centres has about k of them, by the area they span; one aggregate."""
-    b = centres.agg(F.count("*").alias("n"), *[f("lng").alias(f"{a}x") for a, f in (("lo", F.min), ("hi", F.max))], *[f("lat").alias(f"{a}y") for a, f in (("lo", F.min), ("hi", F.max))]).first()
-    if not b.n or b.n <= k:
-        return math.pi * SEARCH_M
-    metre = math.radians(1) * SEARCH_M
-    area = max(1.0, (b.hiy - b.loy) * metre) * max(1.0, (b.hix - b.lox) * metre * math.cos(math.radians((b.hiy + b.loy) / 2)))
-    return min(math.pi * SEARCH_M, max(50.0, 1.6 * math.sqrt(k * area / b.n / math.pi)))
+#: Cubes of the unit sphere's space: a level's edge is 2 ** -level; those of the last are about 24 m wide.
+LEVELS = 18
 
 
-def nearest(points: DataFrame, centres: DataFrame, k: int, start_m: float | None = None) -> DataFrame:
+def _on_sphere(lng: Column, lat: Column) -> Column:
+    """struct(x, y, z), shifted so that no coordinate is negative."""
+    g, t = F.radians(lng), F.radians(lat)
+    return F.struct((F.cos(t) * F.cos(g) + 1.0).alias("x"), (F.cos(t) * F.sin(g) + 1.0).alias("y"), (F.sin(t) + 1.0).alias("z"))
+
+
+def _cube(v: Column, level: Column) -> Column:
+    """struct(a, b, c): the cube of a level a place lies in. Above level 0 there is one for all."""
+    n = F.pow(F.lit(2.0), level)
+    at = lambda k: F.when(level < 0, F.lit(0)).otherwise(F.floor(v[k] * n).cast("int"))
+    return F.struct(at("x").alias("a"), at("y").alias("b"), at("z").alias("c"))
+
+
+def _around(cube: Column, level: Column) -> Column:
+    """The cube and its 26 neighbours."""
+    step = F.sequence(F.lit(-1), F.lit(1))
+    near = lambda i, j, k: F.struct((cube.a + i).alias("a"), (cube.b + j).alias("b"), (cube.c + k).alias("c"))
+    all_ = F.flatten(F.transform(step, lambda i: F.flatten(F.transform(step, lambda j: F.transform(step, lambda k: near(i, j, k))))))
+    return F.when(level < 0, F.array(cube)).otherwise(all_)
+
+
+def search_levels(places: DataFrame, centres: DataFrame, k: int) -> DataFrame:
+    """(base, level): for each cube of the last level that holds places, the level to search its neighbours at.
+
+    Of the levels at which the cube's surroundings (27 cubes) hold k centres the
+    finest gives a bound for the k-th distance, 2 * sqrt(3) edges; two levels up
+    an edge is longer than that, so there the 27 cubes around a place hold its k
+    nearest. Where even level 0 has too few, all centres are searched. Centres are
+    counted by cubes before they meet anything.
+    """
+    levels = F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("level")
+    counts = centres.select("v", levels).select("level", _cube(F.col("v"), F.col("level")).alias("cube")).groupBy("level", "cube").agg(F.count("*").alias("n"))
+    around = counts.select("level", F.explode(_around(F.col("cube"), F.col("level"))).alias("cube"), "n").groupBy("level", "cube").agg(F.sum("n").alias("n")).where(F.col("n") >= k)
+    base = places.select(_cube(F.col("v"), F.lit(LEVELS)).alias("base")).distinct()
+    up = base.select("base", levels).select("base", "level", F.struct(*[F.floor(F.col(f"base.{c}") / F.pow(F.lit(2.0), LEVELS - F.col("level"))).cast("int").alias(c) for c in "abc"]).alias("cube"))
+    finest = up.join(around.select("level", "cube"), ["level", "cube"], "left_semi").groupBy("base").agg(F.max("level").alias("finest"))
+    return base.join(finest, "base", "left").select("base", F.greatest(F.lit(-1), F.coalesce("finest", F.lit(-1)) - 2).alias("level"))
+
+
+def nearest(points: DataFrame, centres: DataFrame, k: int) -> DataFrame:
     """(pid, cid, metres, rank): the k nearest centres of each point on the search sphere, equal distances by cid.
 
-    points: pid, lng, lat; centres: cid, lng, lat. Each round finds all centres
-    within a radius by cells, the first one by their usual density; points with at least k are done, the others go on
-    with eight times the radius, until it spans the globe, when only a table of
-    fewer than k centres is left unsatisfied. No point meets all centres unless
-    they are fewer than k. Unusable coordinates never count; copies of an id
-    count once.
+    points: pid, lng, lat; centres: cid, lng, lat. Each place searches as far as
+    the centres around it lie, so one far centre or place widens no other's
+    search, and neither poles nor the date line matter. A place meets all centres
+    only where these are fewer than k or it's far from all. Copies of one place
+    are searched once; of centres at one place the first k by cid alone can
+    count. Unusable coordinates never count; copies of an id count once; with
+    fewer than k centres each point has all of them.
     """
-    c = centres.where(point_ok(F.col("lng"), F.col("lat"))).dropDuplicates(["cid"])
-    left = points.where(point_ok(F.col("lng"), F.col("lat"))).dropDuplicates(["pid"]).select("pid", "lng", "lat")
-    metres, out = start_m or usual_reach(c, k), None
-    while True:
-        # the search sphere is larger, so a disc on it is a smaller one in degrees
-        reach = min(metres, math.pi * SEARCH_M)
-        height = max(math.degrees(reach / EARTH_M), 1e-4)
-        near = points_in_regions(left, disc_boxes(c, reach), height)
-        near = near.select("lng", "lat", F.col("region.clng").alias("clng"), F.col("region.clat").alias("clat")).distinct()
-        d = haversine_m(F.col("lng"), F.col("lat"), F.col("clng"), F.col("clat"), SEARCH_M)
-        near = near.withColumn("metres", d).where(F.col("metres") <= reach)
-        met = left.join(near, ["lng", "lat"]).join(c.select("cid", F.col("lng").alias("clng"), F.col("lat").alias("clat")), ["clng", "clat"])
-        rank = F.row_number().over(Window.partitionBy("pid").orderBy("metres", "cid"))
-        found = cut(met.select("pid", "cid", "metres", rank.alias("rank")).where(F.col("rank") <= k))
-        last = reach >= math.pi * SEARCH_M
-        done = found if last else found.join(found.where(F.col("rank") == k).select("pid"), "pid", "left_semi")
-        out = done if out is None else out.unionByName(done)
-        if last:
-            return out
-        left = cut(left.join(done.select("pid").distinct(), "pid", "left_anti"))
-        if left.isEmpty():
-            return out
-        metres *= 8
+    ok = lambda df, c: df.where(point_ok(F.col("lng"), F.col("lat"))).dropDuplicates([c]).select(c, "lng", "lat")
+    c, p = ok(centres, "cid"), ok(points, "pid")
+    at_place = F.row_number().over(Window.partitionBy("lng", "lat").orderBy("cid"))
+    c = cut(c.withColumn("_n", at_place).where(F.col("_n") <= k).select("cid", F.col("lng").alias("clng"), F.col("lat").alias("clat"), _on_sphere(F.col("lng"), F.col("lat")).alias("v")))
+    places = cut(p.select("lng", "lat").distinct().withColumn("v", _on_sphere(F.col("lng"), F.col("lat"))))
+    levels = search_levels(places, c, k)
+    asked = places.withColumn("base", _cube(F.col("v"), F.lit(LEVELS))).join(levels, "base").select("lng", "lat", "level", _cube(F.col("v"), F.col("level")).alias("cube"))
+    asked = cut(asked)
+    wanted = asked.select("level", "cube").distinct()
+    used = sorted(r.level for r in wanted.select("level").distinct().collect())  # at most LEVELS + 2 numbers
+    each = F.explode(F.array(*[F.lit(n) for n in used]) if used else F.array().cast("array<int>")).alias("level")
+    held = c.select("cid", "clng", "clat", "v", each).select("level", F.explode(_around(_cube(F.col("v"), F.col("level")), F.col("level"))).alias("cube"), "cid", "clng", "clat")
+    near = blocked_join(asked, held.join(wanted, ["level", "cube"], "left_semi"), ["level", "cube"], 10_000)
+    d = haversine_m(F.col("lng"), F.col("lat"), F.col("clng"), F.col("clat"), SEARCH_M)
+    rank = F.row_number().over(Window.partitionBy("lng", "lat").orderBy("metres", "cid"))
+    best = near.select("lng", "lat", "cid", d.alias("metres")).withColumn("rank", rank).where(F.col("rank") <= k)
+    return p.join(best, ["lng", "lat"]).select("pid", "cid", "metres", "rank")
 
 
 def geometry_kind(kind: Column) -> Column:

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from meridia.operators.pairing import blocked_join, tagged
+from meridia.session import cut
+
 #: Scores of the tiers, the first that holds decides, and the name scores they ask for.
 TIERS = (("CONTACT_AND_COMPATIBLE_NAME", 100), ("CONTACT_AND_FUZZY_NAME", 92), ("SHARED_GROUP_CONTACT_AND_STRONG_NAME", 84), ("ADDRESS_AND_STRONG_NAME", 82), ("RAW_EXACT_NAME", 80), ("REDUCED_EXACT_NAME", 60))
 FUZZY, VERY_STRONG = 0.72, 0.82
-SPLIT = 64
 
 
 def text_score(a: Column, b: Column) -> Column:
@@ -48,41 +53,152 @@ def name_scores(raw_l: Column, red_l: Column, raw_r: Column, red_r: Column) -> C
     )
 
 
-def _grams(names: Column) -> Column:
-    """Every two names whose score reaches VERY_STRONG share one: 3-letter parts, or the whole of shorter names and words."""
-    of = lambda t: F.when(F.length(t) < 3, F.array(t)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))), lambda i: F.substr(t, i, F.lit(3))))
-    parts = F.flatten(F.transform(names, lambda t: F.array_union(of(t), F.split(t, " "))))
-    return F.array_distinct(F.filter(parts, lambda g: g != ""))
+def _edits(size: int, least: float) -> int:
+    """The most edits by which a text of a size may differ from a longer one that it still scores `least` with."""
+    return int((1 - least) * int(size / least + 1e-9) + 1e-9)
+
+
+def _cuts(size: int, least: float) -> list[tuple[int, int]]:
+    """(start, length) of one segment more than edits: one of them stays whole in every text that scores enough."""
+    n = min(size, _edits(size, least) + 1)
+    ends = [size * (i + 1) // n for i in range(n)]
+    return [(b, e - b) for b, e in zip([0, *ends], ends)]
+
+
+def held_keys(names: list[str], least: float) -> list[str]:
+    """The keys of an indexed side's names: segments by the text's length, and all words."""
+    out = set()
+    for t in names:
+        out |= {f"{len(t)}.{i}:{t[b : b + n]}" for i, (b, n) in enumerate(_cuts(len(t), least))}
+        words = {w for w in t.split(" ") if w}
+        out |= {f"w:{w}" for w in words} | {f"s:{w}" for w in _longest(words, least)}
+    return sorted(out)
+
+
+def asked_keys(names: list[str], least: float) -> list[str]:
+    """The keys a name asks with, so that every name that scores `least` with it holds one of them.
+
+    Texts within so many edits share a segment near its place (the i-th one is
+    moved by at most i edits before it and by those left after it). Of texts that
+    share their words the shorter's longest ones are among the other's words.
+    """
+    out = set()
+    for t in names:
+        for size in range(max(1, math.ceil(least * len(t) - 1e-9)), int(len(t) / least + 1e-9) + 1):
+            cuts, moved = _cuts(size, least), len(t) - size
+            for i, (at, n) in enumerate(cuts):
+                last = len(cuts) - 1 - i
+                for b in range(max(0, at - i, at + moved - last), min(len(t) - n, at + i, at + moved + last) + 1):
+                    out.add(f"{size}.{i}:{t[b : b + n]}")
+        words = {w for w in t.split(" ") if w}
+        out |= {f"s:{w}" for w in words} | {f"w:{w}" for w in _longest(words, least)}
+    return sorted(out)
+
+
+def _longest(words: set[str], least: float) -> list[str]:
+    """So many of a text's words, the longest first, that a text with enough of its words has one of them."""
+    spare = len(words) - math.ceil(least * len(words) - 1e-9)
+    return sorted(words, key=lambda w: (-len(w), w))[: spare + 1]
+
+
+def _keys(names: Column, of, least: float) -> Column:
+    return F.pandas_udf(lambda s: pd.Series([of(list(x), least) if x is not None else [] for x in s]), "array<string>")(names)
 
 
-def blocking_keys(side: DataFrame, key: str) -> DataFrame:
-    """(key, block): what a proposal's two sides must share, by tier. Address blocks are narrowed by a name part, as their tier asks for a like name."""
-    e = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
-    tagged = lambda tag, a: F.transform(a, lambda x: F.concat(F.lit(tag), x))
-    place = F.filter(F.array(F.concat(F.lit("p"), F.col("postcode")), F.concat(F.lit("c"), F.col("city"))), lambda x: x.isNotNull())
-    street = tagged("s", F.filter(F.split(F.coalesce("street", F.lit("")), " "), lambda w: F.length(w) > 2))
-    narrowed = F.flatten(F.transform(F.array_distinct(F.concat(place, street)), lambda p: F.transform(_grams(e("reduced_names")), lambda g: F.concat(F.lit("a:"), p, F.lit(":"), g))))
-    blocks = F.concat(tagged("k:", e("contacts")), tagged("h:", e("shared_contacts")), tagged("r:", e("raw_names")), tagged("d:", e("reduced_names")), narrowed)
-    return side.select(key, F.explode(F.array_distinct(blocks)).alias("block"))
+def _parts(text: Column, low: int, high: int) -> Column:
+    """All parts of a text of low to high characters."""
+    one = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(text, i, F.lit(n))))
+    return F.array_distinct(F.flatten(F.array_compact(F.array(*[one(n) for n in range(low, high + 1)]))))
 
 
-def proposals(candidates: DataFrame, hotels: DataFrame, heavy: int = 10_000) -> DataFrame:
+def containing(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(a, b): distinct texts of which one contains the other, of two one-column tables a and b.
+
+    The shorter one asks with one of its parts of three characters, or with the
+    whole of it where it has fewer, among all parts of the longer. Empty and null texts contain nothing.
+    """
+
+    def one_way(long: DataFrame, lc: str, short: DataFrame, sc: str) -> DataFrame:
+        held = long.select(lc, F.explode(_parts(F.col(lc), 1, 3)).alias("_part"))
+        whole = F.filter(_parts(F.col(sc), 3, 3), lambda x: x != "")
+        least = F.array_min(F.transform(whole, lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("x")))).x
+        asks = short.select(sc, F.when(F.length(sc) < 3, F.col(sc)).otherwise(least).alias("_part"))
+        return blocked_join(held, asks, ["_part"]).where(F.col(lc).contains(F.col(sc))).select("a", "b")
+
+    a, b = (df.where(F.coalesce(F.length(c) > 0, F.lit(False))).select(c).distinct() for df, c in ((a, "a"), (b, "b")))
+    return one_way(a, "a", b, "b").unionByName(one_way(b, "b", a, "a")).distinct()
+
+
+def candidate_pairs(candidates: DataFrame, hotels: DataFrame, crowd: int) -> DataFrame:
+    """(cid, hid): the pairs that can reach a tier, each once; none that can is left out.
+
+    Contacts and equal names are blocks of their own. A place (postcode, town,
+    street) or a group's shared contact is none: the name must be very like
+    too, so these are joined with the name's keys. So are contacts that more than
+    `crowd` candidates or hotels have, with the keys of a lower score and of containment.
+    """
+    none = F.array().cast("array<string>")
+    e = lambda c: F.coalesce(F.col(c), none)
+    own = lambda df, k: df.select(k, *[e(f).alias(f) for f in ("raw_names", "reduced_names", "contacts", "shared_contacts")], "postcode", "street", "city")
+    c, h = cut(own(candidates, "cid")), cut(own(hotels, "hid"))
+
+    exact = F.concat(tagged("r:", F.col("raw_names")), tagged("d:", F.col("reduced_names")))
+    contact = lambda df, k: df.select(k, F.explode(F.array_distinct("contacts")).alias("block"))
+    count = lambda df: df.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("block")
+    cc, hc = contact(c, "cid"), contact(h, "hid")
+    crowded = cut(count(cc).unionAll(count(hc)).distinct())
+    named = lambda df, k: df.select(k, F.explode(F.array_distinct(exact)).alias("block"))
+    blocks = lambda contacts, df, k: contacts.join(crowded, "block", "left_anti").unionByName(named(df, k))
+    alike = blocked_join(blocks(cc, c, "cid"), blocks(hc, h, "hid"), ["block"]).select("cid", "hid")
+
+    near = containing(c.select(F.col("street").alias("a")), h.select(F.col("street").alias("b")))
+    streets = near.groupBy(F.col("a").alias("street")).agg(F.collect_set("b").alias("_streets"))
+    at = lambda streets: F.array_compact(F.concat(F.array(F.concat(F.lit("p:"), F.col("postcode")), F.concat(F.lit("c:"), F.col("city"))), tagged("s:", streets), tagged("h:", F.col("shared_contacts"))))
+    cp = cut(c.join(streets, "street", "left").select("cid", F.array_distinct(at(F.coalesce("_streets", none))).alias("places"), "reduced_names"))
+    hp = h.select("hid", F.array_distinct(at(F.array_compact(F.array("street")))).alias("places"), "reduced_names")
+    found = alike.unionByName(_narrowed(cp, hp, VERY_STRONG, False))
+    if crowded.isEmpty():
+        return found.distinct()
+    hot = lambda df, k, own: df.join(crowded, "block").groupBy(k).agg(F.collect_set("block").alias("places")).join(own.select(k, "reduced_names"), k)
+    return found.unionByName(_narrowed(hot(cc, "cid", c), hot(hc, "hid", h), FUZZY, True)).distinct()
+
+
+def _narrowed(c: DataFrame, h: DataFrame, least: float, contained: bool) -> DataFrame:
+    """(cid, hid) of the pairs that share a place and a name key; names are joined once per place, whatever many rows bear them."""
+
+    def one(df: DataFrame, k: str) -> DataFrame:
+        return df.select(k, "places", F.explode(F.array_distinct(F.filter("reduced_names", lambda n: n != ""))).alias("name")).select(k, "name", F.explode("places").alias("place"))
+
+    rows_c, rows_h = one(c, "cid"), one(h, "hid")
+    names = lambda rows, of, n: rows.select("place", "name").distinct().select("place", F.col("name").alias(n), F.explode(_keys(F.array("name"), of, least)).alias("key"))
+    met = blocked_join(cut(names(rows_c, asked_keys, "_cn")), cut(names(rows_h, held_keys, "_hn")), ["place", "key"]).select("place", "_cn", "_hn")
+    if contained:
+        pair = containing(rows_c.select(F.col("name").alias("a")), rows_h.select(F.col("name").alias("b")))
+        at = lambda rows, n: rows.select("place", F.col("name").alias(n)).distinct()
+        held = at(rows_c, "_cn").join(pair.select(F.col("a").alias("_cn"), F.col("b").alias("_hn")), "_cn").join(at(rows_h, "_hn"), ["place", "_hn"])
+        met = met.unionByName(held)
+    # of names that meet by a key only those that are alike go on to their rows
+    alike = F.greatest(text_score(F.col("_cn"), F.col("_hn")), token_score(F.col("_cn"), F.col("_hn"))) >= least
+    if contained:
+        alike = alike | F.col("_cn").contains(F.col("_hn")) | F.col("_hn").contains(F.col("_cn"))
+    met = cut(met.where(alike).distinct())
+    left = cut(rows_c.select("cid", "place", F.col("name").alias("_cn")).join(met, ["place", "_cn"]).select("cid", "place", "_hn").distinct())
+    return blocked_join(left, rows_h.select("hid", "place", F.col("name").alias("_hn")), ["place", "_hn"]).select("cid", "hid").distinct()
+
+
+def proposals(candidates: DataFrame, hotels: DataFrame, crowd: int = 1_000) -> DataFrame:
     """(cid, hid, score, reason, name_score, richness) of every pair that reaches a tier.
 
     candidates: cid, richness and the fields below; hotels: hid and those fields:
     raw_names, reduced_names, contacts, shared_contacts (arrays of texts),
-    postcode, street, city. Each tier needs something both sides share, so
-    blocks stand for the nested loop; a block of many rows is salted. A street
-    counts as shared where it holds a word of the other.
+    postcode, street, city. Null arrays count as empty, null texts as unknown;
+    empty tables propose nothing.
     """
-    bc, bh = blocking_keys(candidates, "cid"), blocking_keys(hotels, "hid")
-    big = bc.groupBy("block").count().where(F.col("count") > heavy).select("block", F.least(F.lit(SPLIT), F.ceil(F.col("count") / heavy)).cast("int").alias("parts"))
-    left = bc.join(big, "block", "left").withColumn("salt", F.pmod(F.hash("cid"), F.coalesce("parts", F.lit(1)))).drop("parts")
-    right = bh.join(big, "block", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-    pairs = left.join(right, ["block", "salt"]).select("cid", "hid").distinct()
+    pairs = candidate_pairs(candidates, hotels, crowd)
     fields = ("raw_names", "reduced_names", "contacts", "shared_contacts", "postcode", "street", "city")
-    c = candidates.select("cid", "richness", *[F.col(f).alias(f"c_{f}") for f in fields])
-    h = hotels.select("hid", *[F.col(f).alias(f"h_{f}") for f in fields])
+    e = lambda f: F.coalesce(F.col(f), F.array().cast("array<string>")) if f in fields[:4] else F.col(f)
+    c = candidates.select("cid", "richness", *[e(f).alias(f"c_{f}") for f in fields])
+    h = hotels.select("hid", *[e(f).alias(f"h_{f}") for f in fields])
     j = pairs.join(c, "cid").join(h, "hid").withColumn("n", name_scores(F.col("c_raw_names"), F.col("c_reduced_names"), F.col("h_raw_names"), F.col("h_reduced_names")))
     overlap = lambda f: F.coalesce(F.arrays_overlap(f"c_{f}", f"h_{f}"), F.lit(False))
     street = F.col("c_street").contains(F.col("h_street")) | F.col("h_street").contains(F.col("c_street"))

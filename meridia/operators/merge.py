@@ -11,10 +11,10 @@ INSERTED, UPDATED, UNCHANGED, MISSING = "INSERTED", "UPDATED", "UNCHANGED", "MIS
 def hash_diff(old: DataFrame, new: DataFrame, keys: list[str], hashes: list[str]) -> DataFrame:
     """(keys.., action): INSERTED, UPDATED, UNCHANGED, and MISSING for what the new rows no longer have.
 
-    Both sides' keys must be unique; nulls in hashes are values that equal each other. One join on the keys.
+    Both sides' keys must be unique; nulls in hashes equal each other and nothing else. One join on the keys.
     """
-    o = old.select(*keys, F.xxhash64(*[F.coalesce(c, F.lit("null")) for c in hashes]).alias("_o"))
-    n = new.select(*keys, F.xxhash64(*[F.coalesce(c, F.lit("null")) for c in hashes]).alias("_n"))
+    hashed = lambda df, name: df.select(*keys, F.xxhash64(*[x for c in hashes for x in (F.col(c).isNull(), F.col(c))]).alias(name))
+    o, n = hashed(old, "_o"), hashed(new, "_n")
     action = F.when(F.col("_o").isNull(), INSERTED).when(F.col("_n").isNull(), MISSING).when(F.col("_o") == F.col("_n"), UNCHANGED).otherwise(UPDATED)
     return o.join(n, keys, "full").select(*keys, action.alias("action"))
 

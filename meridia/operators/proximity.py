@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 EARTH_M = 6_371_000.0
 #: A cell with more distinct points than this is split by salt.
 POINTS_PER_CELL = 4_096
-MAX_SALT = 512
 
 
 def haversine_m(lng1: Column, lat1: Column, lng2: Column, lat2: Column, radius: float = EARTH_M) -> Column:
@@ -88,7 +87,7 @@ def points_in_regions(points: DataFrame, edges: DataFrame, height: float) -> Dat
     strip = _strip(F.col("lat"), height)
     at = points.where(point_ok(F.col("lng"), F.col("lat"))).select("lng", "lat").distinct().withColumn("strip", strip).withColumn("cell", _cell(F.col("lng"), F.col("strip"), height))
     full = at.groupBy("strip", "cell").count().where(F.col("count") > POINTS_PER_CELL)
-    salts = full.select("strip", "cell", F.least(F.lit(MAX_SALT), F.ceil(F.col("count") / POINTS_PER_CELL)).cast("int").alias("salts"))
+    salts = full.select("strip", "cell", F.ceil(F.col("count") / POINTS_PER_CELL).cast("int").alias("salts"))
     spread = at.join(salts, ["strip", "cell"], "left").withColumn("salt", F.pmod(F.hash("lng", "lat"), F.coalesce("salts", F.lit(1))))
     cells = region_cells(edges, height).join(salts, ["strip", "cell"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
     met = spread.drop("salts").join(cells.drop("salts"), ["strip", "cell", "salt"])

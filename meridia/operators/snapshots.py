@@ -7,8 +7,6 @@ snapshots. Full keys are fetched only for what differs.
 
 from __future__ import annotations
 
-
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -114,16 +112,11 @@ def snapshot_changes(rows: DataFrame, snapshots: DataFrame, buckets: int) -> Dat
     placed = hashed.join(order, ["series", "snapshot_id"]).select(F.col("sh").alias("series"), "ord", "last", "bucket", "kh", "rh").distinct()
     found = placed.groupBy("bucket").applyInPandas(_bucket_job, _DIFF)
     later = order.select(F.col("sh"), F.col("ord"), "snapshot_id", "series")
-    #: where the key of a difference is written: in the later snapshot, or for a removed one in the earlier
-    wanted = found.select(F.col("series").alias("sh"), "ord", "bucket", "kh", "kind", (F.col("ord") - F.when(F.col("kind") == REMOVED, 1).otherwise(0)).alias("held"))
-    where = order.select("series", "snapshot_id", "sh", F.col("ord").alias("held"))
-    keys = (
-        rows.where(F.col("record_key").isNotNull())
-        .select("series", "snapshot_id", "record_key", F.xxhash64("record_key").alias("kh"), F.pmod(F.hash(F.lit("bucket"), "record_key"), F.lit(buckets)).cast("int").alias("bucket"))
-        .join(where, ["series", "snapshot_id"])
-        .select("sh", "held", "bucket", "kh", "record_key")
-    )
-    full = wanted.join(keys, ["sh", "held", "bucket", "kh"]).select("sh", "ord", "kind", "record_key").distinct()
+    wanted = found.select(F.col("series").alias("sh"), "ord", "bucket", "kh", "kind")
+    #: keys are fetched for what differs alone, and each once, however many snapshots and rows hold it
+    keys = rows.where(F.col("record_key").isNotNull()).select(F.xxhash64("record_key").alias("kh"), F.pmod(F.hash(F.lit("bucket"), "record_key"), F.lit(buckets)).cast("int").alias("bucket"), "record_key")
+    differing = keys.join(wanted.select("bucket", "kh").distinct(), ["bucket", "kh"], "left_semi").groupBy("bucket", "kh").agg(F.min("record_key").alias("record_key"))
+    full = wanted.join(differing, ["bucket", "kh"]).select("sh", "ord", "kind", "record_key").distinct()
     return full.join(later, ["sh", "ord"]).select("series", "snapshot_id", "record_key", F.col("kind").alias("change_kind"))
 
 

@@ -13,9 +13,8 @@ from meridia.operators.snapshots import file_date
 from meridia.session import cut, table
 from meridia.sources import files
 
-
-#: Beaches of each hotel point, and those that routes are computed to (the reference's HOTEL_BEACH_ACCESS_NEAREST_BEACH_LIMIT).
-NEAREST_BEACHES = 20
+#: Beaches of each hotel point, which its routes are computed to; suggestions of a hotel; edges of a hotel; import runs listed.
+NEAREST_BEACHES, SUGGESTIONS, ADJACENT, RECENT_RUNS = 20, 5, 20, 50
 
 
 def text_names(spark: SparkSession, d: str) -> DataFrame:
@@ -69,8 +68,7 @@ def contact_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 def phone_scan(spark: SparkSession, d: str) -> DataFrame:
-    cell = F.array_join(F.coalesce("contacts.phones", F.array().cast("array<string>")), " ")
-    return table(spark, d, "raw_hotels").select("seq", F.array_join(T.phones_in(cell), ",").alias("phones"))
+    return table(spark, d, "raw_hotels").select("seq", F.array_join(T.phones_in(F.col("contacts.phones")), ",").alias("phones"))
 
 
 def website_kinds(spark: SparkSession, d: str) -> DataFrame:
@@ -147,7 +145,7 @@ def match_reviews(spark: SparkSession, d: str) -> DataFrame:
 
 def match_suggestions(spark: SparkSession, d: str) -> DataFrame:
     candidates, hotels = _sides(spark, d)
-    top = matching.attach_top(hotels.select("hid"), matching.proposals(candidates, hotels), "hid", "cid", 3)
+    top = matching.attach_top(hotels.select("hid"), matching.proposals(candidates, hotels), "hid", "cid", SUGGESTIONS)
     return top.select("hid", F.size(F.coalesce("suggestions", F.array())).alias("n"), F.array_join(F.transform("suggestions", lambda x: x.cid), ",").alias("cids"))
 
 
@@ -241,11 +239,11 @@ def list_page(spark: SparkSession, d: str) -> DataFrame:
 
 def adjacency(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "hotel_beach_access_edges").dropDuplicates(["_id"]).select("_id", "canonicalhotelid", "beachprofileid", "walkingdistancemeters", "straightdistancemeters", "status")
-    return facets.top_per_key(e, "canonicalhotelid", [F.asc_nulls_first("walkingdistancemeters"), F.asc_nulls_first("straightdistancemeters"), F.asc("_id")], 5)
+    return facets.top_per_key(e, "canonicalhotelid", [F.asc_nulls_first("walkingdistancemeters"), F.asc_nulls_first("straightdistancemeters"), F.asc("_id")], ADJACENT)
 
 
 def recent_runs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "geo_import_runs").orderBy(F.desc("startedat"), "_id").limit(5).select("_id", "importkind", "status")
+    return table(spark, d, "geo_import_runs").orderBy(F.desc("startedat"), "_id").limit(RECENT_RUNS).select("_id", "importkind", "status")
 
 
 def clique_groups(spark: SparkSession, d: str) -> DataFrame:
@@ -301,12 +299,6 @@ def radius_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def nearest_beaches(spark: SparkSession, d: str) -> DataFrame:
-    points, beaches = _points(spark, d)
-    return geo.nearest(points, beaches, 5).select("pid", "cid", F.round("metres", 3).alias("metres"), "rank")
-
-
-def hotel_beaches(spark: SparkSession, d: str) -> DataFrame:
-    """The beaches of each point that its routes are computed to."""
     points, beaches = _points(spark, d)
     return geo.nearest(points, beaches, NEAREST_BEACHES).select("pid", "cid", F.round("metres", 3).alias("metres"), "rank")
 
@@ -411,8 +403,8 @@ def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
     at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     events = table(spark, d, "events").select("event_id", "user_id", "event_type", "value")
     events.repartition(4, "event_id").write.parquet(f"{at}/in")
-    done = run(spark, f"{at}/in", "event_id long, user_id long, event_type string, value double", f"{at}/out", f"{at}/checkpoint", ["user_id", "event_type"], "event_id", 1)
-    return latest(spark, f"{at}/out", done - 1)
+    run(spark, f"{at}/in", "event_id long, user_id long, event_type string, value double", f"{at}/out", f"{at}/checkpoint", ["user_id", "event_type"], "event_id", 1)
+    return latest(spark, f"{at}/out")
 
 
 QUERIES = {
@@ -421,7 +413,7 @@ QUERIES = {
         text_names, text_keys, canonical_keys, name_class_repair, location_repair, contact_keys, phone_scan, website_kinds, suffix_numbers, address_forms, file_names, beach_types,
         scored_matches, mutual_matches, match_reviews, match_suggestions, unmatched_hotels, dedupe_last, dedupe_first, soft_conflicts, strong_duplicates, resolved_rows, survivor_merge, capacity_merge,
         quality_issues, strict_sums, facet_stats, filled_counts, list_page, adjacency, recent_runs, clique_groups, shadow_aggregates, capacity_collapse, similar_addresses, edge_distances,
-        radius_search, nearest_beaches, hotel_beaches, representative_points, beach_routes, hash_diff_upsert, upsert_counts, upsert_snapshot, stale_marks, fill_merge, resolved_targets, version_publish, lease_rows,
+        radius_search, nearest_beaches, representative_points, beach_routes, hash_diff_upsert, upsert_counts, upsert_snapshot, stale_marks, fill_merge, resolved_targets, version_publish, lease_rows,
         run_progress, page_ranges, discovered_files, fresh_files, stream_upsert,
     )
 }

@@ -2,7 +2,20 @@
 
 from __future__ import annotations
 
-from meridia.functions.text import AGGREGATOR_HOSTS, GENERIC_SUFFIXES, SHARED_EXACT, SHARED_SUFFIX, SOCIAL_HOSTS, STOP_WORDS, STREET_WORDS
+# Fixed values, stated apart from the operators' own: a wrong word there would else be wrong here too.
+GENERIC_SUFFIXES = ("HOTEL", "HOTELS", "APARTMENT", "APARTMENTS", "APTS", "APT", "SUITE", "SUITES", "RESIDENCE", "BOUTIQUE")
+STOP_WORDS = (
+    "AND", "APARTMENT", "APARTMENTS", "APT", "APTS", "BEACH", "BOUTIQUE", "BY", "GUEST", "GUESTHOUSE", "HOLIDAY",
+    "HOSTEL", "HOTEL", "HOTELS", "HOUSE", "RESORT", "SPA", "SUITE", "SUITES", "THE", "VILLAGE",
+)
+STREET_WORDS = ("AVENUE", "STREET", "ROAD", "LANE", "DRIVE", "BOULEVARD", "SQUARE", "COURT", "PLACE", "CRESCENT", "WAY", "LEOFOROS", "ODOS")
+SHARED_EXACT = ("atlanticahotels.com", "kanikahotels.com", "leonardo-hotels-cyprus.com", "leonardo-hotels.com", "leonardo-hotels.co", "louis-hotels.com", "louishotels.com", "tsokkos.com")
+SHARED_SUFFIX = (
+    "atlanticahotels.com", "booking.com", "expedia.com", "ihg.com", "kanikahotels.com", "leonardo-hotels-cyprus.com",
+    "leonardo-hotels.com", "louis-hotels.com", "louishotels.com", "marriott.com", "radissonhotels.com", "tsokkos.com",
+)
+SOCIAL_HOSTS = ("facebook.com", "instagram.com", "linkedin.com", "tiktok.com", "x.com")
+AGGREGATOR_HOSTS = ("booking.com", "expedia.com", "hotels.com", "tripadvisor.com")
 
 _WS = r"[\s ]+"
 
@@ -12,7 +25,7 @@ def _squeeze(x: str) -> str:
 
 
 def _nt(x: str) -> str:
-    quoted = f"regexp_replace(coalesce({x}, ''), '[‘’‚‛`´]', '''', 'g')"
+    quoted = f"regexp_replace(coalesce({x}, ''), '[’‘`´]', '''', 'g')"
     return f"upper({_squeeze(f'''regexp_replace(replace({quoted}, '&', ' AND '), '[.,;:()\\[\\]{{}}/\\\\–—-]', ' ', 'g')''')})"
 
 
@@ -40,7 +53,7 @@ def _rn(x: str) -> str:
 
 
 def _hn(x: str) -> str:
-    return f"trim(regexp_replace({_nt(x)}, '(\\s+([1-5]\\s*\\*|[ABC]\\s*''|N[/\\s]A|[ΑΆ]ΝΕΥΑ?|WITHOUT\\s+STAR))+$', ''))"
+    return f"trim(regexp_replace({_nt(x)}, '( ([1-5] ?[*]|[ABC] ?''|N ?/ ?A|N A|[ΑΆ]ΝΕΥ( ?Α)?|WITHOUT STAR))+$', ''))"
 
 
 def _mk(x: str) -> str:
@@ -181,6 +194,12 @@ SQL = {
         {_pm(_P0)} as phone_match, {_em(_E0)} as email, case when contains({_E0}, '@') then lower(trim(regexp_extract({_E0}, '^[^@]*@((.|\\n)*)$', 1))) end as email_domain, {_host('list_extract(contacts.websites, 1)')} as host from raw_hotels""",
     "suffix_numbers": f"""with h as (select seq, {_hn('name')} as n from raw_hotels), s as (select seq, n, regexp_extract(n, '{_BASE}', 4) as sx from h)
         select seq, case when sx <> '' then trim(regexp_extract(n, '{_BASE}', 1)) else n end as base, nullif(sx, '') as suffix, try_cast(regexp_extract(sx, '^([0-9]{{1,9}})[A-Z]?$', 1) as int) as number from s""",
+    "phone_scan": r"""with p as (select seq, i, regexp_replace(regexp_replace(cell, '[+]367', '+357', 'g'), '00\s*357', '+357', 'g') as cell from (select seq, unnest(range(1, len(contacts.phones) + 1)) as i, unnest(contacts.phones) as cell from raw_hotels)),
+        s as (select seq, i, unnest(range(len(x))) as j, unnest(x) as piece from (select seq, i, string_split_regex(cell, '[,;/&\n\r]+') as x from p)),
+        r as (select seq, i, j, unnest(range(len(x))) as k, unnest(x) as run from (select seq, i, j, string_split(regexp_replace(piece, '[^0-9+]', '', 'g'), '+') as x from s)),
+        n as (select seq, i, j, k, unnest(range(len(x))) as m, unnest(x) as num from (select seq, i, j, k, regexp_extract_all(run, '(?:00357|357)?([29][0-9]{7})', 1) as x from r where k = 0 or regexp_matches(run, '^(357)?[29][0-9]{7}'))),
+        f as (select seq, num, min((i, j, k, m)) as first_at from n group by seq, num)
+        select raw_hotels.seq, coalesce(string_agg('+357' || num, ',' order by first_at), '') as phones from raw_hotels left join f on f.seq = raw_hotels.seq group by raw_hotels.seq""",
     "website_kinds": f"""with w as (select _id, list_filter(contacts.websites, lambda x: trim(x) <> '') as sites, list_filter(contacts.domains, lambda x: trim(x) <> '') as doms from canonical_hotels),
         s as (select _id, sites, list_transform(case when len(doms) > 0 then doms else sites end, lambda x: {_host('x')}) as seen from w),
         l as (select _id, list_filter(list_transform(sites, lambda x: case when regexp_matches(trim(x), '(?i)^https?://') then trim(x) when regexp_matches(trim(x), '^[a-z][a-z0-9+.-]*:') then null else 'http://' || trim(x) end), lambda x: x is not null) as f from w),
@@ -202,7 +221,7 @@ SQL = {
     "scored_matches": f"with {_SIDES} select cid, hid, score, reason, round(ns, 6) as name_score, richness from named",
     "mutual_matches": f"with {_SIDES} select cid, hid, score, reason from mut",
     "match_reviews": f"with {_SIDES} select cid, hid, score, reason from (select *, row_number() over (partition by cid order by score desc, richness desc, hid) as n from named where cid not in (select cid from mut)) where n = 1",
-    "match_suggestions": f"""with {_SIDES} select h.hid, count(t.cid)::int as n, string_agg(t.cid, ',' order by t.r) as cids from hot h left join (select * from (select *, row_number() over (partition by hid order by score desc, cid) as r from named) where r <= 3) t on t.hid = h.hid group by h.hid""",
+    "match_suggestions": f"""with {_SIDES} select h.hid, count(t.cid)::int as n, string_agg(t.cid, ',' order by t.r) as cids from hot h left join (select * from (select *, row_number() over (partition by hid order by score desc, cid) as r from named) where r <= 5) t on t.hid = h.hid group by h.hid""",
     "unmatched_hotels": f"with {_SIDES} select hid from hot where hid not in (select hid from named)",
     "dedupe_last": "select sourcefile.filename as filename, stricthoteldedupekey as strict, seq, name, rooms, beds from raw_hotels qualify row_number() over (partition by sourcefile.filename, stricthoteldedupekey order by seq desc) = 1",
     "dedupe_first": "select sourcefile.filename as filename, stricthoteldedupekey as strict, seq, name, rooms, beds from raw_hotels qualify row_number() over (partition by sourcefile.filename, stricthoteldedupekey order by seq) = 1",
@@ -234,8 +253,8 @@ SQL = {
     "list_page": """select _id, name from (select distinct on (_id, updatedat) * from hotel_geo_candidates where matchstatus = 'UNMATCHED')
         where contains(lower(name), 'royal') or contains(lower(normalizedname), 'royal') or contains(lower(sourceproperties), 'royal') order by updatedat desc, _id limit 25 offset 10""",
     "adjacency": """select * from (select _id, canonicalhotelid, beachprofileid, walkingdistancemeters, straightdistancemeters, status, row_number() over (partition by canonicalhotelid
-        order by walkingdistancemeters nulls first, straightdistancemeters nulls first, _id)::int as rank from (select distinct on (_id) * from hotel_beach_access_edges)) where rank <= 5""",
-    "recent_runs": "select _id, importkind, status from geo_import_runs order by startedat desc, _id limit 5",
+        order by walkingdistancemeters nulls first, straightdistancemeters nulls first, _id)::int as rank from (select distinct on (_id) * from hotel_beach_access_edges)) where rank <= 20""",
+    "recent_runs": "select _id, importkind, status from geo_import_runs order by startedat desc, _id limit 50",
     "clique_groups": f"""with h as (select seq, sourcefile.filename as f, {_hn('name')} as n, contacts.emails as mails, nullif({_pc('postcode')}, '') as code, establishmenttype from raw_hotels),
         m as (select f || '|' || case when regexp_extract(n, '{_BASE}', 4) <> '' then trim(regexp_extract(n, '{_BASE}', 1)) else n end as block, * from h),
         p as (select a.block, bool_and(len(list_intersect(a.mails, b.mails)) > 0) as ov from m a join m b on a.block = b.block and a.seq < b.seq group by 1)
@@ -253,8 +272,7 @@ SQL = {
     "edge_distances": f"""with e as (select distinct on (_id) _id, floor({_hav('hotelpoint.coordinates[1]', 'hotelpoint.coordinates[2]', 'beachpoint.coordinates[1]', 'beachpoint.coordinates[2]', 6371000)} + 0.5)::bigint as metres from hotel_beach_access_edges where hotelpoint is not null and beachpoint is not null)
         select _id, metres, ceil(metres / 1.25)::bigint as seconds from e""",
     "radius_search": f"with {_POINTS} select pid as id, round(m, 3) as metres from (select pid, {_hav('33.0', '35.0', 'x', 'y', 6378100)} as m from okp) where m <= 10000 order by m, pid limit 50",
-    "nearest_beaches": f"with {_POINTS}, k as ({_KNN}) select pid, cid, round(m, 3) as metres, rank::int as rank from k where rank <= 5",
-    "hotel_beaches": f"with {_POINTS}, k as ({_KNN}) select pid, cid, round(m, 3) as metres, rank::int as rank from k where rank <= 20",
+    "nearest_beaches": f"with {_POINTS}, k as ({_KNN}) select pid, cid, round(m, 3) as metres, rank::int as rank from k where rank <= 20",
     "representative_points": """with v as (select _id, datasetversion, geometry, from_json(('[' || regexp_replace(regexp_replace(json_extract(geometry::json, '$.coordinates')::varchar, '[\\[\\]]', '', 'g'), '\\s', '', 'g') || ']')::json, '["DOUBLE"]') as c from beach_profiles)
         select _id, datasetversion, round(list_avg(list_filter(c, lambda x, i: i % 2 = 1)), 9) as lng, round(list_avg(list_filter(c, lambda x, i: i % 2 = 0)), 9) as lat from v""",
     "hash_diff_upsert": f"select _id, action from {_DIFF.format(3)}",

@@ -12,14 +12,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where the session names none."""
+    """The shared folder that spark.checkpoint.dir names, or that the session has been given already.
+
+    Without either, a local session, whose executors share its machine, gets a
+    temporary one; on a cluster that folder could not be read by others, so it's an error.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    given = sc._jsc.sc().getCheckpointDir()
     if named:
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if given.isEmpty():
             sc.setCheckpointDir(named)
         return named
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
+    if given.isEmpty():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="meridia-"))
     return sc._jsc.sc().getCheckpointDir().get()
 

@@ -25,9 +25,8 @@ def discover(links: DataFrame, base: str) -> DataFrame:
     once = named.groupBy("url").agg(F.min_by("filename", "seq").alias("filename"))
     low = F.lower("filename")
     fits = once.where(low.endswith(".pdf") & ~low.rlike("pet[-_ ]?friendly|vegan")).withColumn("_first", low.contains("pancyprian")).withColumn("_second", low.rlike("_hotels_|^hotels_"))
-    any_first = fits.agg(F.coalesce(F.bool_or("_first"), F.lit(False)).alias("_any"))
-    kept = fits.withColumn("_k", F.lit(1)).join(any_first.withColumn("_k", F.lit(1)), "_k")
-    return kept.where(F.when(F.col("_any"), F.col("_first")).otherwise(F.col("_second"))).select("url", "filename", file_date(F.col("filename")).alias("day"), file_region(F.col("filename")).alias("region"))
+    any_first = fits.agg(F.coalesce(F.bool_or("_first"), F.lit(False))).scalar()
+    return fits.where(F.when(any_first, F.col("_first")).otherwise(F.col("_second"))).select("url", "filename", file_date(F.col("filename")).alias("day"), file_region(F.col("filename")).alias("region"))
 
 
 def page_ranges(files: DataFrame, pages: str, size: int = PAGES, overlap: int = OVERLAP, whole: int = WHOLE) -> DataFrame:

@@ -49,10 +49,16 @@ def test_nearest_against_brute(spark):
     pts = [(f"p{i}", rnd.uniform(-170, 170), rnd.uniform(-80, 80)) for i in range(12)] + [("p99", cen[0][1], cen[0][2])]
     p, c = spark.createDataFrame(pts, "pid string, lng double, lat double"), spark.createDataFrame(cen, "cid string, lng double, lat double")
     for k in (3, 40):
-        got = {(r.pid, r.rank): r.cid for r in nearest(p, c, k, 500_000.0).collect()}
+        got = {(r.pid, r.rank): r.cid for r in nearest(p, c, k).collect()}
         for i, x, y in pts:
             order = sorted((hav((x, y), (a, b), 6_378_100.0), n) for n, a, b in cen if a is not None)[:k]
             assert [got.get((i, j + 1)) for j in range(len(order))] == [n for _, n in order]
+    # copies of a place, a far centre and one beyond the date line widen no search and lose nothing
+    twins = [(f"t{i}", 10.0, 45.0) for i in range(9)] + [("far", -179.9999, 0.5), ("east", 179.9999, 0.5)]
+    t = spark.createDataFrame(twins, "cid string, lng double, lat double")
+    q = spark.createDataFrame([("q", 10.0001, 45.0), ("w", -179.99995, 0.5)], "pid string, lng double, lat double")
+    got = {(r.pid, r.rank): r.cid for r in nearest(q, t, 2).collect()}
+    assert got == {("q", 1): "t0", ("q", 2): "t1", ("w", 1): "far", ("w", 2): "east"}
     assert nearest(p.limit(0), c, 3).count() == 0 and nearest(p, c.limit(0), 3).count() == 0
 
 

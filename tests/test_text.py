@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,9 +34,44 @@ def test_contacts(one):
     assert one(["b.example", "http://a.example/x", "mailto:q@w.e", None], T.website_list, "array<string>") == ["http://a.example/x", "http://b.example/"]
 
 
-@pytest.mark.parametrize("given, wanted", [("+35799525462+35799406091", ["+35799525462", "+35799406091"]), ("+3572662153499603286", ["+35726621534", "+35799603286"]), ("+3572295237222952372", ["+35722952372"]), ("+36725583991", ["+35725583991"]), ("+22833709", ["+35722833709"]), ("123", []), ("+441234567890", []), ("", [])])
-def test_phone_scanner(given, wanted):
-    assert T.scan_phones(given) == wanted
+PHONES = [("+35799525462+35799406091", ["+35799525462", "+35799406091"]), ("+3572662153499603286", ["+35726621534", "+35799603286"]), ("+3572295237222952372", ["+35722952372"]), ("+36725583991", ["+35725583991"]), ("+22833709", ["+35722833709"]), ("123", []), ("+441234567890", []), ("", []), ("2212345, 67812345", []), ("00 357 22123456/25123456", ["+35722123456", "+35725123456"])]
+
+
+@pytest.mark.parametrize("given, wanted", PHONES)
+def test_phone_scanner(one, given, wanted):
+    assert one([given], T.phones_in, "array<string>") == wanted
+
+
+def scanned(cell):
+    """One character at a time, by the words of the definition."""
+    out = []
+    for piece in re.split(r"[,;/&\n\r]+", re.sub(r"00\s*357", "+357", cell.replace("+367", "+357"))):
+        s = re.sub(r"[^0-9+]", "", piece)
+        while s:
+            m = re.match(r"(?:\+357|00357|357|\+|)([29][0-9]{7})", s)
+            if m:
+                out.append("+357" + m[1])
+                s = s[m.end() :]
+            elif s[0] == "+":
+                s = s[s.find("+", 1) :] if "+" in s[1:] else ""
+            else:
+                s = s[1:]
+    return out
+
+
+def test_phone_scanner_against_scan(spark):
+    rnd = random.Random(3)
+    parts = ["+357", "357", "00357", "+", "22", "99123456", "2", "9", "35", " ", ",", "/", "+367", "00 357", "7", "25583991", "0"]
+    cells = [["".join(rnd.choice(parts) for _ in range(rnd.randrange(9))) for _ in range(rnd.randrange(4))] for _ in range(600)]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i int, c array<string>")
+    got = {r.i: r.p for r in df.select("i", T.phones_in(F.col("c")).alias("p")).collect()}
+    assert got == {i: list(dict.fromkeys(x for cell in c for x in scanned(cell))) for i, c in enumerate(cells)}
+    assert spark.createDataFrame([(None,)], "c array<string>").select(T.phones_in(F.col("c")).alias("p")).first().p == []
+
+
+def test_class_markers_and_quotes(one):
+    assert one("MELISSI ΑΝΕΥ Α", T.hotel_name) == one("MELISSI ΑΝΕΥΑ", T.hotel_name) == one("MELISSI ΆΝΕΥ", T.hotel_name) == "MELISSI"
+    assert one("A‚B‛C’D", T.name_text) == "A‚B‛C'D"
 
 
 @pytest.mark.parametrize(
