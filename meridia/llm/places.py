@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from meridia.llm.addresskit import STREET_KINDS, TOWN_PREFIX, address, postcode, same_town, street_kind, towns
 from meridia.llm.minhash import band_keys
 from meridia.llm.namekit import close, fold
+from meridia.operators.pairing import blocked_join
 from meridia.operators.snapshots import file_date
 from meridia.session import cut, table
 
@@ -22,8 +23,8 @@ BANDS, ROWS = 40, 2
 #: Of a bucket, members beyond this are spread by salt.
 BUCKET = 2_000
 GAP_OPEN, GAP_EXTEND = 0.6, 0.2
-#: The greatest cost at which two streets are one.
-MOST_COST = 1.0
+#: The greatest cost at which two streets are one: a token left out, or one or two typing errors, but not both; and never two tokens that only stand against gaps.
+MOST_COST = 0.8
 
 
 def bands(street: str) -> list[int]:
@@ -88,11 +89,10 @@ def alignment(a: list[str], b: list[str]) -> float:
 
 
 def same_place(sa: str, ka: str, sb: str, kb: str) -> bool:
-    """Whether two streets are one: tokens in order of their kind last, a missing kind as a gap; its gap costs nothing further."""
+    """Whether two streets are one: kinds equal where both have one, and the names' tokens aligned at no more than MOST_COST."""
     if ka and kb and ka != kb:
         return False
-    ta, tb = sa.split() + ([ka] if ka else []), sb.split() + ([kb] if kb else [])
-    return alignment(ta, tb) - (GAP_OPEN if bool(ka) != bool(kb) else 0.0) <= MOST_COST
+    return alignment(sa.split(), sb.split()) <= MOST_COST
 
 
 def _parse(text: pd.Series, code: pd.Series, town: pd.Series) -> pd.DataFrame:
@@ -171,11 +171,11 @@ def place_classes(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def place_pairs(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """(seq_a, seq_b) of each two rows at one place, smaller first."""
-    a, b = rows.select(F.col("place").alias("a"), F.col("row").alias("x")), rows.select(F.col("place").alias("b"), F.col("row").alias("y"))
-    other = a.join(links, "a").join(b, "b").select("x", "y")
-    own = a.join(b, F.col("a") == F.col("b")).where("x < y").select("x", "y")
-    return other.unionAll(own).select(F.least("x", "y").alias("seq_a"), F.greatest("x", "y").alias("seq_b")).distinct()
+    """(seq_a, seq_b) of each two rows at one place, smaller first. A place of many rows is split by its size, on both sides."""
+    own = rows.select(F.col("place").alias("a"), F.col("place").alias("b")).distinct()
+    x = links.select("a", "b").unionByName(own).join(rows.select(F.col("place").alias("a"), F.col("row").alias("x")), "a").select("b", "x", (F.col("a") == F.col("b")).alias("_own"))
+    met = blocked_join(x, rows.select(F.col("place").alias("b"), F.col("row").alias("y")), ["b"]).where(~F.col("_own") | (F.col("x") < F.col("y")))
+    return met.select(F.least("x", "y").alias("seq_a"), F.greatest("x", "y").alias("seq_b")).distinct()
 
 
 def latest_files(raw: DataFrame) -> DataFrame:

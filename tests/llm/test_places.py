@@ -74,3 +74,10 @@ def test_recall_of_bands():
         v = rnd.choice([w[:i] + w[i + 1 :], w[:i] + w[i + 1] + w[i] + w[i + 2 :], w[:i] + "X" + w[i:], w[:i] + "X" + w[i + 1 :]])
         met += bool(set(P.bands(w)) & set(P.bands(v)))
     assert met >= 396
+
+
+def test_unlike_streets_are_no_place_whatever_kind_is_missing():
+    assert not P.same_place("VOZINUTUTI", "", "ZUHIMAJIN", "AVENUE") and not P.same_place("VOZINUTUTI", "", "ZUHIMAJIN", "")
+    assert not P.same_place("ANATOLIS EVAGOROU", "", "EVAGOROV", "")  # a token left out and a typing error are too much together
+    assert P.same_place("ANATOLIS EVAGOROU", "", "EVAGOROU", "AVENUE") and P.same_place("SUFFOGIGOS", "ROAD", "SUPHOGIGOS", "")
+    assert P.same_place("ZIMQINEBOL", "AVENUE", "ZIMINEEBOL", "AVENUE") and not P.same_place("ZIMINEBOL", "AVENUE", "ZIMINEBOL", "ROAD")
