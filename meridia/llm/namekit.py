@@ -25,7 +25,14 @@ GIVEN = {
     "THEODOSIS": ("THEO", "DOSIS"),
     "VASILIKI": ("VASO", "VICKY"),
     "ZENONAS": ("ZEN", "ZENO"),
-}
+    # common Greek given names with the short forms in use
+    "ALEXANDROS": ("ALEKOS", "ALECOS", "ALEX"), "ANASTASIA": ("NATASA", "TASOULA"), "ANASTASIOS": ("TASOS",), "ANDREAS": ("ANDRIKOS", "ANDREAKIS"), "ANTONIOS": ("ANTONIS", "TONIS"),
+    "ATHANASIOS": ("THANASIS", "NASOS"), "CHRISTOS": ("CHRISTAKIS",), "DIMITRIOS": ("DIMITRIS", "DIMITRAKIS", "MITSOS", "MIMIS"), "EFSTATHIOS": ("STATHIS",), "ELENI": ("ELENITSA", "NITSA"),
+    "EVANGELOS": ("VANGELIS", "VAGELIS"), "GEORGIOS": ("GEORGE", "YIORGOS", "GIORGOS", "YIORGAKIS"), "GRIGORIOS": ("GRIGORIS",), "IOANNIS": ("YIANNIS", "GIANNIS", "YANNIS", "YIANNAKIS", "JOHN"),
+    "KATERINA": ("KATIA", "KATINA"), "KYRIAKOS": ("KIKIS", "KOULLIS"), "MARIA": ("MAROULLA", "MARIKA"), "MICHAIL": ("MICHALIS", "MICHALAKIS", "MICHAEL"), "NIKOLAOS": ("NIKOLAS", "NICOLAS", "NICK"),
+    "PANAGIOTIS": ("PANOS", "TAKIS"), "PARASKEVI": ("VOULA", "PARASKEVOULLA"), "PETROS": ("PETRAKIS",), "SAVVAS": ("SAVVAKIS",), "SOTIRIOS": ("SOTIRIS",), "SPYRIDON": ("SPYROS",),
+    "STAVROS": ("STAVRAKIS",), "THEODOROS": ("THEODORIS", "DOROS"), "THEOFANIS": ("FANIS",), "VASILEIOS": ("VASILIS", "VASSOS"),
+}
 KNOWN_SHORT = {
     "APT": "APARTMENTS", "APTS": "APARTMENTS", "APPTS": "APARTMENTS", "APARTMENT": "APARTMENTS", "HOTELS": "HOTEL", "HTL": "HOTEL", "HOT": "HOTEL", "HSTL": "HOSTEL", "HS": "HOUSES",
     "STS": "SUITES", "STES": "SUITES", "SUITE": "SUITES", "BTQ": "BOUTIQUE", "HOL": "HOLIDAY", "VLG": "VILLAGE", "VILLAG": "VILLAGE", "VLS": "VILLAS", "VILLA": "VILLAS", "HSES": "HOUSES", "HOUSE": "HOUSES",
@@ -146,8 +153,8 @@ def hotel_name(text: str) -> tuple[str, str, str, str] | None:
     return " ".join(sorted(core)), " ".join(sorted(set(quals))), " ".join(sorted(set(kinds))), number
 
 
-_INITIAL = {n[0] for n in GIVEN}
-_NICK = {s: n for n, many in GIVEN.items() for s in many} | {n: n for n in GIVEN}
+#: A short form of several names stands for the first of them.
+_NICK = {s: n for n, many in reversed(GIVEN.items()) for s in many} | {n: n for n in GIVEN}
 _FOLDED_GIVEN = {fold(n): n for n in GIVEN}
 
 
@@ -172,11 +179,10 @@ def business_word(word: str) -> str | None:
 
 @lru_cache(1 << 16)
 def operator_name(text: str) -> tuple[str, str, str] | None:
-    """(core, "company" or "person", rest): rest are a company's business words, or a person's first initial. None for blanks and dashes.
+    """(core, "company" or "person", rest): rest are a company's business words, or a person's full given name, or its initial with a dot where no more is known. None for blanks and dashes.
 
     Titles and legal forms go. Relatives share a surname, so a person is surname
-    and the initial of the full given name; a middle initial before the surname
-    is dropped.
+    and given name; a middle initial before the surname is dropped.
     """
     t = plain(text)
     t = re.sub(r"\bL\s*\.\s*T\s*\.\s*D\b\.?", " LTD ", t)
@@ -197,7 +203,7 @@ def operator_name(text: str) -> tuple[str, str, str] | None:
     initials = [w for w in words if len(w) == 1]
     surname = sorted(w for w, g in zip(words, given) if g is None and len(w) > 1)
     if names and surname:
-        return " ".join(surname), "person", names[0][0]
+        return " ".join(surname), "person", names[0]
     if initials and surname:
-        return " ".join(surname), "person", initials[0]
+        return " ".join(surname), "person", initials[0] + "."
     return " ".join(sorted(words)), "person", ""
