@@ -23,14 +23,14 @@ from meridia.session import table
 SHINGLE, LEAST_WORDS, EDIT_SHARE = 4, 15, 6
 #: An opening sentence that so many items share is an instruction.
 COMMON_OPENING = 3
-#: Items scanned for at once; more of them are taken in blocks, each with a scan of its own.
-ITEMS_AT_ONCE = 5_000
-#: How many words a gap between hits, or a passage's ends, may reach.
+#: No gap between hits, and no passage's end, need be longer. A passage of more words than this falls into blocks of LEAST_WORDS to 29,
+#: and of these one has no more edits for its words than the whole; so if any passage leaks, one of at most 29 words does.
 REACH = 30
 
-_TAG = re.compile(r"<!--|-->|</?[a-zA-Z][^<>]{0,200}>")
-_LINK = re.compile(r"\[\[[^\[\]|]{1,120}\|")
-_NOTE = re.compile(r"\{\{[^{}]{0,60}\}\}")
+_TAG = re.compile(r"</?[a-zA-Z][^<>]*>|<!--|-->")
+_LINK = re.compile(r"\[\[[^\[\]|]*\|")
+_BRACES = re.compile(r"\{\{|\}\}")
+_ASIDE = re.compile(r"<!--.*?-->|<ref\b[^<>]*(?<!/)>.*?</ref\s*>", re.S | re.I)
 _ENTITY = re.compile(r"&(?:#\d{1,6}|#x[0-9a-fA-F]{1,5}|[a-zA-Z]{2,8});")
 _QUOTE = re.compile("['’‘`´­​]")
 _WORD = re.compile(r"[^\W_]+")
@@ -38,14 +38,35 @@ _WORD = re.compile(r"[^\W_]+")
 _JOINING = {"&shy;": "", "&zwj;": "", "&zwnj;": "", "&apos;": "", "&#39;": "", "&#039;": "", "&rsquo;": "", "&lsquo;": ""}
 
 
+def asides(text: str) -> list[str]:
+    """The text without what interrupts it, and then each interruption's own text: notes in balanced double braces, of any length and depth, comments and references."""
+    spans = [(m.start(), m.end(), m.start() + 4) for m in _ASIDE.finditer(text)] if "<" in text else []
+    opened: list[int] = []
+    for m in _BRACES.finditer(text) if "{{" in text else ():
+        if m[0] == "{{":
+            opened.append(m.start())
+        elif opened:
+            b = opened.pop()
+            spans.append((b, m.end(), b + 2))
+    if not spans:
+        return [text]
+    main, inner, at = [], [], 0
+    for b, e, begin in sorted(spans, key=lambda s: (s[0], -s[1])):
+        if b < at:  # within the last one; it comes with that one's own text
+            continue
+        main.append(text[at:b])
+        inner.append(text[begin:e])
+        at = e
+    main.append(text[at:])
+    return [" ".join(main), *(x for t in inner for x in asides(t))]
+
+
 def bare(text: str) -> str:
-    """The text in lower case without markup; links leave their words, and notes within braces of up to 60 characters go."""
+    """The text in lower case without tags and signs of markup; links leave their words."""
     if "<" in text:
         text = _TAG.sub(" ", text)
     if "[[" in text:
         text = _LINK.sub(" ", text)
-    if "{{" in text:
-        text = _NOTE.sub(" ", text)
     if "&" in text:
         text = _ENTITY.sub(lambda m: _JOINING.get(m[0].lower(), " "), text)
     if not text.isascii():
@@ -87,20 +108,22 @@ class Scanner:
             self.automaton.make_automaton()
         self.empty = not at
 
-    def leaked(self, text: str | None) -> list[tuple[int, int, int]]:
-        """(item, start, end) of the items leaked, with word numbers of the first passage found.
-
-        Letters and digits are scanned without their blanks, so that spacing does not matter.
-        """
+    def leaked(self, text: str | None) -> list[int]:
+        """The items leaked. What interrupts a passage is read apart from it, and so is itself searched."""
         if not text or self.empty:
             return []
-        b = bare(text)
-        found = _WORD.findall(b)
+        found: set[int] = set()
+        for part in asides(text):
+            found.update(self._passages(words(part), found))
+        return sorted(found)
+
+    def _passages(self, found: list[str], known: set[int]) -> Iterator[int]:
+        """Items with a passage among these words. Letters and digits are scanned without their blanks, so that spacing does not matter."""
         if len(found) < SHINGLE:
-            return []
+            return
         hits = list(self.automaton.iter("".join(found)))
         if not hits:
-            return []
+            return
         ends, n = [], 0
         for w in found:
             n += len(w)
@@ -109,13 +132,11 @@ class Scanner:
         for e, (size, where) in hits:
             j = bisect_right(ends, e - size + 1)
             for i, k in where:
-                by_item[i].add((j, k))
-        out = []
-        for i, pairs in sorted(by_item.items()):
-            passage = best_passage(self.items[i], found, sorted(pairs))
-            if passage:
-                out.append((i, *passage))
-        return out
+                if i not in known:
+                    by_item[i].add((j, k))
+        for i, pairs in by_item.items():
+            if best_passage(self.items[i], found, sorted(pairs)):
+                yield i
 
 
 def edits(a: list[str], b: list[str]) -> int:
@@ -161,40 +182,46 @@ def best_passage(item: list[str], doc: list[str], pairs: list[tuple[int, int]])
         if r[2] >= LEAST_WORDS:
             return r[0], r[0] + r[2] - 1
     runs.sort()
-    chains: list[list[list[int]]] = []
-    for r in runs:
-        for c in reversed(chains):
-            p = c[-1]
-            dj, dk = r[0] - (p[0] + p[2]), r[1] - (p[1] + p[2])
-            if dj > -SHINGLE and dk > -SHINGLE and (r[0], r[1]) > (p[0], p[1]) and r[1] > p[1] and max(dj, dk) <= REACH:
-                c.append(r)
+
+    def gap(p: list[int], r: list[int]) -> int | None:
+        """Edits between two runs, or None where the second can't follow the first; runs that overlap share words."""
+        dj, dk = r[0] - (p[0] + p[2]), r[1] - (p[1] + p[2])
+        if min(dj, dk) <= -SHINGLE or max(dj, dk) > REACH or r[0] <= p[0] or r[1] <= p[1]:
+            return None
+        back = max(0, -dj, -dk)
+        return edits(item[p[1] + p[2] - back : r[1]], doc[p[0] + p[2] - back : r[0]])
+
+    gaps: dict[tuple[int, int], int | None] = {}
+    rights: dict[int, list[int]] = {}
+    for s, p in enumerate(runs):
+        cost = {s: 0}  # the fewest edits from this run to each later one, by any runs between
+        left = None
+        for e in range(s, len(runs)):
+            r = runs[e]
+            if r[0] > p[0] + p[2] + 2 * REACH:
                 break
-        else:
-            chains.append([r])
-    for chain in chains:
-        gaps = []
-        for p, r in zip(chain, chain[1:]):
-            back = max(0, p[0] + p[2] - r[0], p[1] + p[2] - r[1])  # runs that overlap share words
-            a, b = item[p[1] + p[2] - back : r[1]], doc[p[0] + p[2] - back : r[0]]
-            gaps.append(edits(a, b))
-        for s in range(len(chain)):
-            cost = 0
-            left = None
-            for e in range(s, len(chain)):
-                if e > s:
-                    cost += gaps[e - 1]
-                p, r = chain[s], chain[e]
-                core = r[1] + r[2] - p[1]
-                if core >= LEAST_WORDS and EDIT_SHARE * cost <= core:
-                    return p[0], r[0] + r[2] - 1
-                if left is None:
-                    left = reaching(item[max(0, p[1] - REACH) : p[1]][::-1], doc[max(0, p[0] - REACH - 8) : p[0]][::-1])
-                right = reaching(item[r[1] + r[2] : r[1] + r[2] + REACH], doc[r[0] + r[2] : r[0] + r[2] + REACH + 8])
-                for x, dl in enumerate(left):
-                    for y, dr in enumerate(right):
-                        span = core + x + y
-                        if span >= LEAST_WORDS and EDIT_SHARE * (cost + dl + dr) <= span:
-                            return max(0, p[0] - x), r[0] + r[2] - 1 + y
+            if e > s:
+                ways = []
+                for m, c in cost.items():
+                    if (m, e) not in gaps:
+                        gaps[m, e] = gap(runs[m], r)
+                    if gaps[m, e] is not None:
+                        ways.append(c + gaps[m, e])
+                if not ways:
+                    continue
+                cost[e] = min(ways)
+            core = r[1] + r[2] - p[1]
+            if core >= LEAST_WORDS and EDIT_SHARE * cost[e] <= core:
+                return p[0], r[0] + r[2] - 1
+            if left is None:
+                left = reaching(item[max(0, p[1] - REACH) : p[1]][::-1], doc[max(0, p[0] - REACH - 8) : p[0]][::-1])
+            if e not in rights:
+                rights[e] = reaching(item[r[1] + r[2] : r[1] + r[2] + REACH], doc[r[0] + r[2] : r[0] + r[2] + REACH + 8])
+            for x, dl in enumerate(left):
+                for y, dr in enumerate(rights[e]):
+                    span = core + x + y
+                    if span >= LEAST_WORDS and EDIT_SHARE * (cost[e] + dl + dr) <= span:
+                        return max(0, p[0] - x), r[0] + r[2] - 1 + y
     return None
 
 
@@ -202,26 +229,21 @@ def leaks(documents: DataFrame, items: list[tuple[int, str]], key: str = "doc_id
     """(item_id, doc_id) of each item whose own text the document holds, at least LEAST_WORDS words of it in order at one place.
 
     documents: key and text, other columns are not read. Null and empty texts
-    leak nothing, as items of fewer words cannot be leaked. Each text is scanned
-    whole, once for each block of ITEMS_AT_ONCE items; nothing is shuffled.
+    leak nothing, as items of fewer words cannot be leaked. Each text is read
+    whole and once, by one automaton of all items; nothing is shuffled. The
+    items are held-out test material, which does not grow with the corpus; they
+    reach each executor as one broadcast.
     """
-    own = own_texts(items)
-    ids = sorted(own)
-    blocks = [{i: own[i] for i in ids[b : b + ITEMS_AT_ONCE]} for b in range(0, len(ids), ITEMS_AT_ONCE)] or [{}]
-    spark = documents.sparkSession
-    out = None
-    for block in blocks:
-        shared = spark.sparkContext.broadcast(block)
-
-        def scan(parts: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:  # one automaton for a whole partition
-            scanner = Scanner(shared.value)
-            for part in parts:
-                rows = [(i, d) for d, t in zip(part[key], part[text]) for i, *_ in scanner.leaked(t)]
-                yield pd.DataFrame(rows, columns=["item_id", "doc_id"])
-
-        one = documents.select(key, text).mapInPandas(scan, "item_id long, doc_id long")
-        out = one if out is None else out.unionAll(one)
-    return out.distinct() if len(blocks) > 1 else out
+    shared = documents.sparkSession.sparkContext.broadcast(own_texts(items))
+    kind = dict(documents.dtypes)[key]
+
+    def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:  # one automaton for a whole partition
+        scanner = Scanner(shared.value)
+        for part in parts:
+            rows = [(i, d) for d, t in zip(part[key], part[text]) for i in scanner.leaked(t)]
+            yield pd.DataFrame(rows, columns=["item_id", "doc_id"])
+
+    return documents.select(key, text).mapInPandas(scan, f"item_id long, doc_id {kind}")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

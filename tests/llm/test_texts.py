@@ -54,16 +54,35 @@ def test_leaks_markup(spark):
     marked = "'''" + own[0][5].upper() + "''' " + " ".join(f"[[{w}]]" for w in own[0][6:12]) + "&nbsp;" + " ".join(f"[[other|{w}]], <i>{w2}</i>" for w, w2 in zip(own[0][12:20:2], own[0][13:20:2]))
     docs = [(1, "x " + marked + " y", "a"), (2, " ".join(own[1][:12]), "a"), (3, "Read this and answer. No more.", "a"), (4, None, "a"), (5, "", "a"), (6, "  ".join(own[1]) + " " + "\n".join(own[2]), "a"), (6, " ".join(own[1]), "a"), (9, "z" * 300_000 + " " + " ".join(own[2][10:26]), "a")]
     df = spark.createDataFrame(docs, "doc_id long, text string, item_id string")
-    assert sorted(map(tuple, L.leaks(df, items).collect())) == [(0, 1), (1, 6), (1, 6), (2, 6), (2, 9)]
+    assert sorted((r.item_id, r.doc_id) for r in L.leaks(df, items).collect()) == [(0, 1), (1, 6), (1, 6), (2, 6), (2, 9)]
     assert L.leaks(df.limit(0), items).count() == 0 and L.leaks(df, []).count() == 0
 
 
-def test_leaks_blocks(spark, monkeypatch):
-    rnd = random.Random(1)
-    own = {i: sentence(rnd, 20) for i in range(5)}
-    df = spark.createDataFrame([(1, " ".join(sum(own.values(), [])))], "doc_id long, text string")
-    monkeypatch.setattr(L, "ITEMS_AT_ONCE", 2)
-    assert {r.item_id for r in L.leaks(df, [(i, " ".join(w)) for i, w in own.items()]).collect()} == set(own)
+def test_leaks_of_repeated_phrases_against_brute():
+    """Items and documents that repeat phrases, so that a run may follow several others."""
+    rnd = random.Random(12)
+    phrase = [sentence(rnd, 5) for _ in range(3)]
+    agree = leaked = 0
+    for n in range(150):
+        item = [w for _ in range(6) for w in rnd.choice(phrase)]
+        doc = [w for _ in range(rnd.randrange(2, 8)) for w in (rnd.choice(phrase) if rnd.random() < 0.7 else sentence(rnd, 3))]
+        for _ in range(rnd.randrange(4)):
+            p = rnd.randrange(len(doc))
+            doc[p : p + 1] = rnd.choice([[], ["xx"], [doc[p], "yy"]])
+        wanted = brute(item, doc)
+        leaked += wanted
+        agree += bool(L.Scanner({1: item}).leaked(" ".join(doc))) == wanted
+    assert agree == 150 and leaked > 20
+
+
+def test_leaks_beside_interruptions_of_any_length():
+    own = sentence(random.Random(6), 16)
+    scanner = L.Scanner({1: own})
+    inside = " ".join(sentence(random.Random(7), 90))
+    for mark in ("{{note " + inside + "}}", "{{a|{{b|" + inside + "}}|c}}", "<ref name=x>" + inside + "</ref>", "<!-- " + inside + " -->", '<span title="' + inside + '">'):
+        assert scanner.leaked(" ".join(own[:8]) + " " + mark + " " + " ".join(own[8:])) == [1], mark
+        assert scanner.leaked(mark.replace(inside, " ".join(own))) == ([] if "span" in mark else [1])
+    assert scanner.leaked("{{ open " + " ".join(own) + " }} }} {{") == [1] and L.asides("a {{b") == ["a {{b"]
 
 
 PROSE = ["The census of 1946 counted 39338 inhabitants in 200 households. Local cooks prepare a stew of figs. Trade in wool declined after a flood, although the mill kept working until 1866. The line closed in 1577 and now serves as a library. {{citation needed|date=May 2014}}\n\n== History ==\n\n'''Kahu''' is a quiet [[river]] in [[Zuka]].", "JavaScript was adopted by the municipal library in 2007, although readers without it can still use every catalogue page. The old script is required in all schools of the district.", "Printers set meaningless pseudo-Latin, the so-called lorem ipsum, to show a typeface before the poet had delivered the text."] * 60
