@@ -101,7 +101,8 @@ def packed(counts: DataFrame, rows: int, key: str = "doc_id", capacity: int = CA
         part["slot"] = part.groupby("container").cumcount().astype("int32")
         return part[["container", "slot", key, "piece", "first_token", "n_tokens"]]
 
-    spread = each.withColumn("shard", F.pmod(F.xxhash64(key, "piece"), F.lit(shards)).cast("int"))
+    # as many partitions as shards: packing costs far more than its few bytes tell, so adaptive execution must not join them
+    spread = each.withColumn("shard", F.pmod(F.xxhash64(key, "piece"), F.lit(shards)).cast("int")).repartition(shards, "shard")
     return spread.groupBy("shard").applyInPandas(fill, f"container long, slot int, {key} {kind}, piece int, first_token long, n_tokens long")
 
 
@@ -115,3 +116,20 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(containers, tokens, unused_share): how well the containers are filled."""
     p = p8_packed(spark, sf_dir).groupBy("container").agg(F.sum("n_tokens").alias("t"))
     return p.agg(F.count("*").alias("containers"), F.sum("t").alias("tokens"), F.round(1 - F.sum("t") / (F.count("*") * CAPACITY), 4).alias("unused_share"))
+
+
+def p8_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(documents, over_capacity, wrong_tokens, repeated_slots): the packing's invariants, counted over all containers and documents; the last three are 0."""
+    counts = cut(token_counts(table(spark, sf_dir, "documents")))
+    rows, extra = counts.agg(F.count("*"), F.sum(F.greatest(F.lit(0), F.floor((F.col("n_tokens") - 1) / CAPACITY)))).first()
+    p = cut(packed(counts, rows + int(extra or 0)))
+    full = p.groupBy("container").agg(F.sum("n_tokens").alias("t"), (F.count("*") - F.count_distinct("slot")).alias("r"))
+    held = p.groupBy("doc_id").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n"))
+    wanted = counts.groupBy("doc_id").agg(F.sum("n_tokens").alias("w"), F.sum(F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / CAPACITY))).alias("pieces"))
+    wrong = wanted.join(held, "doc_id", "full").agg(F.count("*").alias("documents"), F.count_if(~(F.col("w").eqNullSafe(F.col("t")) & F.col("pieces").eqNullSafe(F.col("n")))).alias("wrong_tokens"))
+    over = full.agg(F.count_if(F.col("t") > CAPACITY).alias("over_capacity"), F.coalesce(F.sum("r"), F.lit(0)).alias("repeated_slots"))
+    return wrong.select("documents", over.select("over_capacity").scalar().alias("over_capacity"), "wrong_tokens", over.select("repeated_slots").scalar().alias("repeated_slots"))
+
+
+#: Containers, tokens and cuts can't be told without the tokenizer; that no invariant breaks can.
+P8_SQL = "select count(distinct doc_id) as documents, 0::bigint as over_capacity, 0::bigint as wrong_tokens, 0::bigint as repeated_slots from documents"

@@ -15,10 +15,11 @@ def queries() -> dict:
         "p6_found": places.p6_found,
         "p8_packed": packing.p8_packed,
         "p8_fill": packing.p8_fill,
+        "p8_checked": packing.p8_checked,
         "p9_found": leaks.p9_found,
         "p10_found": residue.p10_found,
     }
 
 
 def oracle_sql() -> dict:
-    return {"p4_found": survivors.P4_SQL}
+    return {"p4_found": survivors.P4_SQL, "p8_checked": packing.P8_SQL}

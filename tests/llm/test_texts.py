@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -7,6 +8,7 @@ from meridia.llm import leaks as L
 from meridia.llm import packing as K
 from meridia.llm import residue as R
 
+DATA = os.environ.get("MERIDIA_TEST_DATA", "/root/testdata/sf0.001")
 WORDS = [a + b + c for a in ("ba", "de", "fi", "go", "hu") for b in ("la", "me", "ni", "po", "ru") for c in ("s", "n", "th", "r")]
 
 
@@ -65,7 +67,7 @@ def test_leaks_of_repeated_phrases_against_brute():
     agree = leaked = 0
     for n in range(150):
         item = [w for _ in range(6) for w in rnd.choice(phrase)]
-        doc = [w for _ in range(rnd.randrange(2, 8)) for w in (rnd.choice(phrase) if rnd.random() < 0.7 else sentence(rnd, 3))]
+        doc = [w for _ in range(rnd.randrange(2, 8)) for w in (rnd.choice(phrase) if rnd.random() < 0.9 else sentence(rnd, 3))]
         for _ in range(rnd.randrange(4)):
             p = rnd.randrange(len(doc))
             doc[p : p + 1] = rnd.choice([[], ["xx"], [doc[p], "yy"]])
@@ -99,7 +101,7 @@ PROSE = ["The census of 1946 counted 39338 inhabitants in 200 households. Local
     ],
 )
 def test_residue(text, wanted):
-    table = test_residue.__dict__.setdefault("table", R.fit(PROSE))
+    table = test_residue.__dict__.setdefault("table", R.fit([R._counts(PROSE, k) for k in (0, 1)]))
     assert bool(R.residue(text, table)) == wanted
 
 
@@ -138,3 +140,30 @@ def test_token_counts(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.n_tokens for r in K.token_counts(df).collect()}
     assert got == {i: len(enc.encode_ordinary(t)) if t else 0 for i, t in enumerate(texts)} and enc.decode(enc.encode_ordinary(texts[4])) == texts[4]
+
+
+UNSEEN = ["It has {% population %} people.", "| name = [[placeholder]]", "Dear &lt;name&gt;, hello.", "TK TK TK", "The population is (to be filled in).", "Warning: mysql_fetch_array() expects parameter 1 to be resource, boolean given in /home/www/x.php on line 5", "java.lang.IllegalStateException: Cannot call sendError() after the response has been committed", "Whoops, looks like something broke", "We are verifying your connection is secure", "Nulla facilisi. Aliquam erat volutpat. Morbi in sem quis dui placerat ornare.", "Unable to connect to the remote server. Please check your network connection.", "You are being redirected", "Your session timed out; sign in once more.", "[Name of mayor]", "<<INSERT DATE>>", "Error: 500 while rendering", "This content isn't available right now", "Bitte warten, Ihr Browser wird geprüft.", "JavaScript muss aktiviert sein."]
+REAL = ["The term JavaScript was coined in 1995 by Netscape.", "The library was closed for maintenance in 1998 and reopened in 2001.", "The page was found in a monastery and restored.", "He served as a server at the palace; the gateway was rebuilt in 1502.", "Sorry is a song by the band.", "The database of the museum lists 400 items; the connection between the two towns was lost.", "Users must log in to the national archive to view records, according to the 2010 law."]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no delivered tables")
+def test_residue_in_wording_left_out_of_the_seeds(spark):
+    seeds = "\n".join(x for kind in R.seeds() for x in kind)
+    assert not any(x in seeds for x in UNSEEN)
+    table = R.fit(R.prose_counts(spark.read.parquet(f"{DATA}/documents.parquet")))
+    around = "Kahu is a river in Zuka. It rises in the hills.\n\n{}\n\nIt is 40 km long."
+    assert sum(bool(R.residue(around.format(x), table)) for x in UNSEEN) >= 0.8 * len(UNSEEN)
+    assert not any(R.residue(around.format(x), table) for x in REAL)
+
+
+def test_prose_counts_are_of_all_texts(spark, monkeypatch):
+    monkeypatch.setattr(R, "AT_ONCE", 1000)
+    texts = PROSE[:3] + ["", None, "abc", PROSE[0] * 20]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    got = R.prose_counts(df)
+    n = sum(max(0, len(t) - R.N + 1) for t in texts if t)
+    assert all(n <= c.sum() <= n + 8 * len(texts) for c in got)
+    for kind in (0, 1):
+        one = R._counts([PROSE[0]], kind)
+        assert (got[kind][one > 0] >= one[one > 0]).all()
+    assert [c.sum() for c in R.prose_counts(df.limit(0))] == [0, 0]
