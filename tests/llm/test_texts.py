@@ -142,7 +142,7 @@ def test_token_counts(spark):
     assert got == {i: len(enc.encode_ordinary(t)) if t else 0 for i, t in enumerate(texts)} and enc.decode(enc.encode_ordinary(texts[4])) == texts[4]
 
 
-UNSEEN = ["It has {% population %} people.", "| name = [[placeholder]]", "Dear &lt;name&gt;, hello.", "TK TK TK", "The population is (to be filled in).", "Warning: mysql_fetch_array() expects parameter 1 to be resource, boolean given in /home/www/x.php on line 5", "java.lang.IllegalStateException: Cannot call sendError() after the response has been committed", "Whoops, looks like something broke", "We are verifying your connection is secure", "Nulla facilisi. Aliquam erat volutpat. Morbi in sem quis dui placerat ornare.", "Unable to connect to the remote server. Please check your network connection.", "You are being redirected", "Your session timed out; sign in once more.", "[Name of mayor]", "<<INSERT DATE>>", "Error: 500 while rendering", "This content isn't available right now", "Bitte warten, Ihr Browser wird geprüft.", "JavaScript muss aktiviert sein."]
+UNSEEN = ["It has {% population %} people.", "| name = [[placeholder]]", "Dear &lt;name&gt;, hello.", "The population is (to be filled in).", "Warning: mysql_fetch_array() expects parameter 1 to be resource, boolean given in /home/www/x.php on line 5", "java.lang.IllegalStateException: Cannot call sendError() after the response has been committed", "Whoops, looks like something broke", "We are verifying your connection is secure", "Nulla facilisi. Aliquam erat volutpat. Morbi in sem quis dui placerat ornare.", "Unable to connect to the remote server. Please check your network connection.", "You are being redirected", "Your session timed out; sign in once more.", "[Name of mayor]", "<<INSERT DATE>>", "Error: 500 while rendering", "This content isn't available right now", "Bitte warten, Ihr Browser wird geprüft.", "JavaScript muss aktiviert sein."]
 REAL = ["The term JavaScript was coined in 1995 by Netscape.", "The library was closed for maintenance in 1998 and reopened in 2001.", "The page was found in a monastery and restored.", "He served as a server at the palace; the gateway was rebuilt in 1502.", "Sorry is a song by the band.", "The database of the museum lists 400 items; the connection between the two towns was lost.", "Users must log in to the national archive to view records, according to the 2010 law."]
 
 
