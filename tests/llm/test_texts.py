@@ -9,6 +9,7 @@ from meridia.llm import packing as K
 from meridia.llm import residue as R
 
 DATA = os.environ.get("MERIDIA_TEST_DATA", "/root/testdata/sf0.001")
+LARGER = os.path.join(os.path.dirname(DATA.rstrip("/")), "sf0.01")  # prose of a thousand pages, of which fewer teach too little
 WORDS = [a + b + c for a in ("ba", "de", "fi", "go", "hu") for b in ("la", "me", "ni", "po", "ru") for c in ("s", "n", "th", "r")]
 
 
@@ -146,11 +147,11 @@ UNSEEN = ["It has {% population %} people.", "| name = [[placeholder]]", "Dear &
 REAL = ["The term JavaScript was coined in 1995 by Netscape.", "The library was closed for maintenance in 1998 and reopened in 2001.", "The page was found in a monastery and restored.", "He served as a server at the palace; the gateway was rebuilt in 1502.", "Sorry is a song by the band.", "The database of the museum lists 400 items; the connection between the two towns was lost.", "Users must log in to the national archive to view records, according to the 2010 law."]
 
 
-@pytest.mark.skipif(not os.path.isdir(DATA), reason="no delivered tables")
+@pytest.mark.skipif(not os.path.isdir(LARGER), reason="no delivered tables")
 def test_residue_in_wording_left_out_of_the_seeds(spark):
     seeds = "\n".join(x for kind in R.seeds() for x in kind)
     assert not any(x in seeds for x in UNSEEN)
-    table = R.fit(R.prose_counts(spark.read.parquet(f"{DATA}/documents.parquet")))
+    table = R.fit(R.prose_counts(spark.read.parquet(f"{LARGER}/documents.parquet")))
     around = "Kahu is a river in Zuka. It rises in the hills.\n\n{}\n\nIt is 40 km long."
     assert sum(bool(R.residue(around.format(x), table)) for x in UNSEEN) >= 0.8 * len(UNSEEN)
     assert not any(R.residue(around.format(x), table) for x in REAL)
