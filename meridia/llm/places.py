@@ -7,6 +7,8 @@ of their tokens, whose substitution costs know the abbreviations.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,9 +56,22 @@ def within_two(a: str, b: str) -> bool:
     return _edits(a, b) <= 2 or _edits(fold(a), fold(b)) <= 2
 
 
+@lru_cache(1 << 16)
+def _letters(word: str) -> int:
+    """The letters a word has, as bits."""
+    bits = 0
+    for c in word:
+        bits |= 1 << (ord(c) & 63)
+    return bits
+
+
 def _edits(a: str, b: str) -> int:
+    """Edits between two words, three and more as 3; each letter that only one of them has costs one, which settles most pairs."""
     if abs(len(a) - len(b)) > 2:
         return 3
+    x, y = _letters(a), _letters(b)
+    if (x & ~y).bit_count() > 2 or (y & ~x).bit_count() > 2:
+        return 3
     before, row = None, list(range(len(b) + 1))
     for i, c in enumerate(a, 1):
         new = [i]
@@ -66,7 +81,7 @@ def _edits(a: str, b: str) -> int:
                 x = min(x, before[j - 2] + 1)
             new.append(x)
         before, row = row, new
-    return row[-1]
+    return min(3, row[-1])
 
 
 def alignment(a: list[str], b: list[str]) -> float:
