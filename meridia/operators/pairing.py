@@ -15,17 +15,17 @@ def blocked_join(left: DataFrame, right: DataFrame, keys: list[str], rows: int =
     Both sides of a block are counted before anything meets. A block of more
     than `rows` on a side is cut into as many parts as that takes, without an
     upper bound, and each part of one side meets each part of the other: every
-    pair is made once, and none of the tasks holds a whole hot block. Blocks that
-    one side lacks are dropped first. Null keys join nothing.
+    pair is made once, and none of the tasks holds a whole hot block. Only hot
+    blocks, at most one for `rows` rows, are looked up by the rows. Null keys join nothing.
     """
     size = lambda df, n: df.groupBy(*keys).agg(F.ceil(F.count("*") / rows).cast("int").alias(n))
-    parts = size(left, "_lp").join(size(right, "_rp"), keys)
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    hot = size(left, "_lp").join(size(right, "_rp").hint("merge"), keys).where((F.col("_lp") > 1) | (F.col("_rp") > 1))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1))
 
     def spread(df: DataFrame, own: str, other: str, at: str, across: str) -> DataFrame:
         rest = [F.col(c) for c in df.columns]
-        salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns if c not in keys]), F.col(own)).cast("int")
-        return df.join(parts, keys).select(*rest, salt.alias(at), F.col(other)).select(*rest, at, each(other).alias(across))
+        salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns if c not in keys]), F.coalesce(own, F.lit(1))).cast("int")
+        return df.join(hot, keys, "left").select(*rest, salt.alias(at), F.col(other)).select(*rest, at, each(other).alias(across))
 
     l, r = spread(left, "_lp", "_rp", "_la", "_ra"), spread(right, "_rp", "_lp", "_ra", "_la")  # noqa: E741
     return l.join(r, [*keys, "_la", "_ra"]).drop("_la", "_ra")
