@@ -212,6 +212,23 @@ def host_of(col: Column) -> Column:
     return F.when(h != "", h)
 
 
+def contact_domain(col: Column) -> Column:
+    """A stored domain trimmed, in lower case, without www.; null stays null."""
+    return F.regexp_replace(F.lower(F.trim(col)), r"^www\.", "")
+
+
+def host_registry(col: Column) -> Column:
+    """As registry entries compare websites: the host of a link with a scheme, else what stands before the first slash."""
+    url = F.regexp_extract(F.trim(col), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)
+    return contact_domain(F.when(url != "", url).otherwise(F.regexp_extract(F.regexp_replace(col, r"^https?://", ""), r"^([^/]*)", 1)))
+
+
+def host_strict(col: Column) -> Column:
+    """The host of a full link alone; null for anything without a scheme."""
+    url = F.regexp_extract(F.trim(col), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)
+    return F.when(url != "", F.lower(F.regexp_replace(url, r"(?i)^www\.", "")))
+
+
 def website_key(col: Column) -> Column:
     """A link in one form: scheme http where missing, host in lower case, no trailing slash of a bare host; null for what is no web link."""
     t = F.regexp_replace(F.trim(col), r"(?U)\s+", "")

@@ -77,6 +77,32 @@ def merge_capacity(old_rooms: Column, old_beds: Column, new_rooms: Column, new_b
     return F.struct(pick(old_rooms, new_rooms).alias("rooms"), pick(old_beds, new_beds).alias("beds"), differ.alias("conflict"))
 
 
+def merged_capacities(df: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, rooms, beds, conflict): what merge_capacity gives when each group's rows are taken in by order, without a row of a group waiting for another.
+
+    What counts is when a capacity became complete: by the first complete valid
+    row, or before it by fields that others filled; that one stays, and later
+    complete ones that differ conflict. The first row counts even if it isn't
+    valid. df: key, order (unique within a key), rooms, beds.
+    """
+    first = df.groupBy(key).agg(F.min(order).alias("_first"))
+    bad = F.coalesce((F.col("rooms") <= 0) | (F.col("beds") <= 0), F.lit(False))
+    j = df.join(first, key).where(~bad | (F.col(order) == F.col("_first"))).select(key, order, "rooms", "beds")
+    full = F.col("rooms").isNotNull() & F.col("beds").isNotNull()
+    at = lambda cond: F.when(cond, F.col(order))
+    c = j.groupBy(key).agg(
+        *[f(x) for n in ("rooms", "beds") for f, x in ((lambda x, n=n: F.min_by(n, x).alias(f"_{n}"), at(F.col(n).isNotNull())), (lambda x, n=n: F.min(x).alias(f"_at_{n}"), at(F.col(n).isNotNull())))],
+        F.min_by(F.struct("rooms", "beds"), at(full)).alias("_whole"), F.min(at(full)).alias("_at"),
+    )
+    filled = F.greatest("_at_rooms", "_at_beds")
+    by_row = F.col("_at").isNotNull() & (F.col("_at_rooms").isNull() | F.col("_at_beds").isNull() | (F.col("_at") <= filled))
+    pick = lambda n: F.when(by_row, F.col(f"_whole.{n}")).otherwise(F.col(f"_{n}")).alias(n)
+    done = F.when(by_row, F.col("_at")).when(F.col("_at_rooms").isNotNull() & F.col("_at_beds").isNotNull(), filled)
+    state = c.select(key, pick("rooms"), pick("beds"), done.alias("_done"))
+    later = j.where(full).select(key, order, F.col("rooms").alias("_r"), F.col("beds").alias("_b")).join(state, key).where((F.col(order) > F.col("_done")) & ((F.col("_r") != F.col("rooms")) | (F.col("_b") != F.col("beds")))).select(key).distinct().withColumn("_c", F.lit(True))
+    return state.join(later, key, "left").select(key, "rooms", "beds", F.coalesce("_c", F.lit(False)).alias("conflict"))
+
+
 def fold_in_order(df: DataFrame, block: list[str], order: str, fold: Callable[[list[dict]], list[dict]], schema: str) -> DataFrame:
     """Each block's rows, by order, through a fold in which later rows see what earlier ones left; for semantics that depend on order alone.
 

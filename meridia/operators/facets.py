@@ -14,6 +14,63 @@ def where_all(df: DataFrame, **equal) -> DataFrame:
     return df.where(reduce(Column.__and__, conditions)) if conditions else df
 
 
+def where_match(df: DataFrame, conditions: dict[str, dict]) -> DataFrame:
+    """Rows that meet every condition {column: {operator: value}}: eq, ne, in, nin, gte, gt, lte, lt, exists, has (an array's element).
+
+    Null equals null and a missing value alike: eq None finds nulls, ne and nin
+    keep them, comparisons never do. A column may be a path, as a.b or list[0].
+    """
+    made = {
+        "eq": lambda c, v: c.eqNullSafe(F.lit(v)),
+        "ne": lambda c, v: ~c.eqNullSafe(F.lit(v)),
+        "in": lambda c, v: F.coalesce(c.isin(*[x for x in v if x is not None]), F.lit(False)) | (c.isNull() if None in v else F.lit(False)),
+        "nin": lambda c, v: ~(F.coalesce(c.isin(*[x for x in v if x is not None]), F.lit(False)) | (c.isNull() if None in v else F.lit(False))),
+        "gte": lambda c, v: c >= v, "gt": lambda c, v: c > v, "lte": lambda c, v: c <= v, "lt": lambda c, v: c < v,
+        "exists": lambda c, v: c.isNotNull() if v else c.isNull(),
+        "has": lambda c, v: F.coalesce(F.array_contains(c, v), F.lit(False)),
+    }
+
+    def path(name: str) -> Column:
+        import re
+
+        m = re.fullmatch(r"(.+)\[(\d+)\]", name)
+        return F.get(F.col(m[1]), F.lit(int(m[2]))) if m else F.col(name)
+
+    tests = [made[op](path(c), v) for c, ops in conditions.items() for op, v in ops.items()]
+    return df.where(reduce(Column.__and__, tests)) if tests else df
+
+
+def by_id(df: DataFrame, key: str, value: str | None, pattern: str = r"[0-9a-z]{24}") -> DataFrame:
+    """The row of an id; none for an id that isn't like one, which is no error."""
+    import re
+
+    return df.where(F.col(key) == value).limit(1) if value is not None and re.fullmatch(pattern, value) else df.limit(0)
+
+
+def unique_by(df: DataFrame, column: str, value) -> DataFrame:
+    """The one row with a value, or none; an error where several have it. Two rows at most are fetched."""
+    found = df.where(F.col(column) == value)
+    if len(found.limit(2).take(2)) > 1:
+        raise ValueError(f"{column} {value!r} is not unique")
+    return found
+
+
+def eligible(status: Column, verification: Column) -> Column:
+    """Active, and not known to lie elsewhere; without a verification it is."""
+    return F.coalesce(status == "active", F.lit(False)) & F.coalesce(verification != "location_unverified", F.lit(True))
+
+
+def geo_counts(df: DataFrame, status: Column, point: Column) -> DataFrame:
+    """One row: with_geo, without_geo of the active rows."""
+    return df.where(status == "active").agg(F.count_if(point.isNotNull()).alias("with_geo"), F.count_if(point.isNull()).alias("without_geo"))
+
+
+def first_rows(df: DataFrame, order: list[Column], limit: str | int | None) -> DataFrame:
+    """The first rows by order; 0, or what is no number, means all."""
+    n = number(limit, 0, 0, 1 << 30)
+    return df.orderBy(*order).limit(n) if n else df.orderBy(*order)
+
+
 def text_search(df: DataFrame, query: str | None, columns: list[str]) -> DataFrame:
     """Rows of which one column holds the query literally, in any case; a null column holds nothing; no query, no condition."""
     if not query:

@@ -126,10 +126,11 @@ def mean_point(v: Column) -> Column:
     return F.when(n > 0, F.struct(mean(0).alias("lng"), mean(1).alias("lat")))
 
 
-def target_points(kind: Column, geometry: Column, lng: Column, lat: Column, from_lng: Column, from_lat: Column) -> Column:
+def target_points(kind: Column, geometry: Column, lng: Column, lat: Column, from_lng: Column, from_lat: Column, access: Column | None = None) -> Column:
     """array<array<double>> of up to TARGETS places to walk to.
 
-    Lines are sampled at their quarters, areas give the vertices of their outer
+    Where access points (array<array<double>>, curated by hand) are given and
+    there are any, the nearest of them count, repeated ones as often; else lines are sampled at their quarters, areas give the vertices of their outer
     ring nearest to the start; both without repeats. Points, multiple
     geometries, and what has no vertices give the profile's own point.
     """
@@ -139,11 +140,20 @@ def target_points(kind: Column, geometry: Column, lng: Column, lat: Column, from
     line = F.array_distinct(F.array(*[at(F.lit(s)) for s in (0.0, 0.25, 0.5, 0.75, 1.0)]))
     ring = F.transform(
         F.filter(vertices(F.concat(F.lit('{"coordinates": '), F.regexp_extract(geometry, r'"coordinates"\s*:\s*\[\s*(\[[^a-z]*?\]\s*\])', 1))), lambda p: F.size(p) >= 2),
-        lambda p, i: F.struct(haversine_m(from_lng, from_lat, F.get(p, F.lit(0)), F.get(p, F.lit(1))).alias("m"), i.alias("i"), p.alias("p")),
+        lambda p, i: _walk_to(p, i, from_lng, from_lat),
     )
     area = F.array_distinct(F.transform(F.slice(F.array_sort(ring), 1, TARGETS), lambda x: x.p))
     own = F.array(F.array(lng, lat))
-    return F.when(single & (kind == "LINE") & (F.size(v) > 0), line).when(single & (kind == "AREA") & (F.size(area) > 0), area).otherwise(own)
+    made = F.when(single & (kind == "LINE") & (F.size(v) > 0), line).when(single & (kind == "AREA") & (F.size(area) > 0), area).otherwise(own)
+    if access is None:
+        return made
+    near = F.array_sort(F.transform(access, lambda p, i: _walk_to(p, i, from_lng, from_lat)))
+    return F.when(F.size(access) > 0, F.transform(F.slice(near, 1, TARGETS), lambda x: x.p)).otherwise(made)
+
+
+def _walk_to(p: Column, i: Column, from_lng: Column, from_lat: Column) -> Column:
+    """struct(m, i, p): whole metres to a point, its place in the list deciding between equal ones."""
+    return F.struct(rounded_m(from_lng, from_lat, F.get(p, F.lit(0)), F.get(p, F.lit(1))).alias("m"), i.alias("i"), p.alias("p"))
 
 
 def best_routes(targets: DataFrame, keys: list[str], alternatives: int = 2) -> DataFrame:

@@ -14,7 +14,8 @@ def overlaps(a: Column, b: Column) -> Column:
 
 
 def leading_number(address: Column) -> Column:
-    n = F.regexp_extract(address, r"^\s*(\d+)", 1)
+    """The house number a normalised address begins with, its letter included; null without one."""
+    n = F.regexp_extract(address, r"^(\d+[A-Z]?)", 1)
     return F.when(n != "", n)
 
 
@@ -29,35 +30,6 @@ def compatible_text(a: Column, b: Column) -> Column:
     return F.coalesce((a == "") | (b == "") | a.contains(b) | b.contains(a), F.lit(True))
 
 
-def clique_groups(members: DataFrame, block: str, member: str, features: dict[str, str], differ: str) -> DataFrame:
-    """(block, members, is_clique): blocks of two or more members of which every two agree.
-
-    features: column -> kind, 'overlap' for arrays of which each two must share
-    an element, 'equal' for values of which none may differ (nulls agree with
-    all); members that share differ's value count once. All pairs are never
-    made: values that must be equal are compared by their distinct count, and
-    arrays by whether one element is held by every member, or else by counting
-    pairs of the block's distinct arrays.
-    """
-    agg = [F.count_distinct(member).alias("members"), F.count_distinct(differ).alias("_kinds")]
-    agg += [F.count_distinct(c).alias(f"_d_{c}") for c, k in features.items() if k == "equal"]
-    base = members.groupBy(block).agg(*agg).where("members > 1")
-    ok = F.lit(True)
-    for c, k in features.items():
-        if k == "equal":
-            ok = ok & (F.col(f"_d_{c}") <= 1)
-            continue
-        once = members.groupBy(block, c).agg(F.count_distinct(member).alias("_m")).withColumn("_a", F.xxhash64(c))
-        lone = once.where((F.size(F.coalesce(c, F.array().cast("array<string>"))) == 0)).select(block).distinct().withColumn("_empty", F.lit(True))
-        sets = once.groupBy(block).agg(F.count("*").alias("_sets"))
-        l, r = once.select(block, F.col("_a").alias("_x"), F.col(c).alias("_l")), once.select(block, F.col("_a").alias("_y"), F.col(c).alias("_r"))  # noqa: E741
-        met = l.withColumn("_t", F.explode("_l")).join(r.withColumn("_t", F.explode("_r")), [block, "_t"]).where("_x < _y").select(block, "_x", "_y").distinct().groupBy(block).agg(F.count("*").alias("_met"))
-        state = sets.join(met, block, "left").join(lone, block, "left").select(block, ((F.coalesce("_met", F.lit(0)) == F.col("_sets") * (F.col("_sets") - 1) / 2) & F.col("_empty").isNull()).alias(f"_ok_{c}"))
-        base = base.join(state, block)
-        ok = ok & F.col(f"_ok_{c}")
-    return base.select(block, "members", F.col("_kinds").alias("kinds"), ok.alias("is_clique"))
-
-
 def shadow_aggregates(totals: DataFrame, parts: DataFrame, key: str, measures: list[str], most: float = SHADOW_SHARE, least: int = SHADOW_SIBLINGS) -> DataFrame:
     """(key, parts, sum_<m>..): rows that only sum up others: at least so many parts, each measure above the greatest part and within a share of the parts' sum. A part with a null measure disqualifies."""
     agg = [F.count("*").alias("parts")]

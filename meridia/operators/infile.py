@@ -41,21 +41,32 @@ def strong_duplicate(new: dict, old: dict) -> bool:
     return own or bool(set(new["emails"]) & set(old["emails"])) or bool(set(new["websites"]) & set(old["websites"]))
 
 
-def better_locality(old: str | None, new: str | None, region: str | None) -> str | None:
-    """The one the region's name holds, if it holds just one; else the old one."""
-    if old is None or new is None:
-        return new if old is None else old
-    held = [x.strip().upper() in (region or "").strip().upper() and x.strip() != "" for x in (old, new)]
-    return new if held == [False, True] and old.strip().upper() != new.strip().upper() else old
+#: Where the fields of a merged row come from: of the preferred row first, or of the new one first. All else is the new row's.
+PREFERRED, NEWEST = ("address", "domain"), ("classraw", "managername")
+
+
+def told_by_region(row: dict, region: str | None) -> bool:
+    """Whether the region's name holds the row's locality."""
+    town = (row["locality"] or "").strip().upper()
+    return town != "" and town in (region or "").strip().upper()
 
 
 def merged(old: dict, new: dict) -> dict:
-    town = better_locality(old["locality"], new["locality"], new["region"] or old["region"])
-    prefer, other = (new, old) if town == new["locality"] and town != old["locality"] else (old, new)
-    out = dict(new, locality=town, address=prefer["address"] if prefer["address"] is not None else other["address"], domain=prefer["domain"] if prefer["domain"] is not None else other["domain"])
-    for c in ("classraw", "managername"):
-        out[c] = new[c] if new[c] is not None else old[c]
-    return out | {c: list(dict.fromkeys([*prefer[c], *other[c]])) for c in LISTS}
+    """One row of two strong duplicates.
+
+    The new row is preferred where it alone has a locality, or its locality
+    differs from the old one's and is the only one that the region's name holds;
+    else the old row is. The preferred row gives the locality, and comes first
+    in what both may fill and in the lists.
+    """
+    region = new["region"] or old["region"]
+    other_town = (old["locality"] or "").strip().upper() != (new["locality"] or "").strip().upper()
+    fresh = new["locality"] is not None and (old["locality"] is None or (other_town and told_by_region(new, region) and not told_by_region(old, region)))
+    first, second = (new, old) if fresh else (old, new)
+    filled = lambda c, a, b: a[c] if a[c] is not None else b[c]
+    chosen = {c: filled(c, first, second) for c in PREFERRED} | {c: filled(c, new, old) for c in NEWEST}
+    lists = {c: list(dict.fromkeys([*first[c], *second[c]])) for c in LISTS}
+    return new | chosen | lists | {"locality": first["locality"]}
 
 
 def resolve(rows: list[dict]) -> list[dict]:

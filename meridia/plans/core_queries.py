@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from meridia.functions import keys as K
 from meridia.functions import text as T
-from meridia.operators import dedupe, facets, geo, grouping, infile, matching, merge, runs
+from meridia.operators import dedupe, facets, geo, grouping, infile, matching, merge, rules, runs
 from meridia.operators.proximity import point_ok
 from meridia.operators.snapshots import file_date
 from meridia.session import cut, table
@@ -194,19 +194,20 @@ def survivor_merge(spark: SparkSession, d: str) -> DataFrame:
     e, g = table(spark, d, "hotel_registry_entries").dropDuplicates(["_id"]), table(spark, d, "registry_duplicates")
     j = g.join(e, F.col("entryid") == F.col("_id"))
     loc = F.struct(dedupe.location_score(F.col("location.district"), F.col("location.locality"), F.col("location.postcode"), F.col("location.address")).alias("s"), F.col("_id").alias("i"))
-    j = j.withColumn("loc", loc).withColumn("phones", F.col("contacts.phones")).withColumn("rooms", F.col("capacity.rooms"))
+    j = j.withColumn("loc", loc).withColumn("rooms", F.col("capacity.rooms"))
+    lists = ("phones", "emails", "websites", "domains")
+    for f in lists:
+        j = j.withColumn(f, F.col(f"contacts.{f}"))
     return j.groupBy("dup_group").agg(
         F.max_by("location.address", "loc").alias("address"), F.max("loc.s").alias("location_score"), dedupe.first_filled("operator", "_id").alias("operator"),
-        F.array_join(dedupe.sorted_union("phones"), ",").alias("phones"), dedupe.strict_sum("rooms").alias("rooms_sum"), F.count("*").alias("n"),
+        *[F.array_join(dedupe.sorted_union(f), ",").alias(f) for f in lists], dedupe.strict_sum("rooms").alias("rooms_sum"), F.count("*").alias("n"),
     )
 
 
 def capacity_merge(spark: SparkSession, d: str) -> DataFrame:
     e, g = table(spark, d, "hotel_registry_entries").dropDuplicates(["_id"]), table(spark, d, "registry_duplicates")
     j = g.join(e, F.col("entryid") == F.col("_id")).select("dup_group", "_id", "capacity")
-    ends = j.groupBy("dup_group").agg(F.min_by("capacity", "_id").alias("o"), F.max_by("capacity", "_id").alias("n"))
-    m = dedupe.merge_capacity(F.col("o.rooms"), F.col("o.beds"), F.col("n.rooms"), F.col("n.beds"))
-    return ends.select("dup_group", m.alias("m")).select("dup_group", "m.*")
+    return dedupe.merged_capacities(j.select("dup_group", "_id", "capacity.rooms", "capacity.beds"), "dup_group", "_id")
 
 
 def quality_issues(spark: SparkSession, d: str) -> DataFrame:
@@ -247,13 +248,12 @@ def recent_runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def clique_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Names within one file that all share a contact, agree in the postcode, and are of more than one kind or row."""
-    raw = table(spark, d, "raw_hotels")
-    m = raw.select(
-        K.joined(F.col("sourcefile.filename"), T.suffix_split(T.hotel_name(F.col("name"))).base).alias("block"), "seq", F.col("contacts.emails").alias("mails"),
-        F.when(T.postcode_key(F.col("postcode")) != "", T.postcode_key(F.col("postcode"))).alias("code"), "establishmenttype",
-    )
-    return grouping.clique_groups(m, "block", "seq", {"mails": "overlap", "code": "equal"}, "establishmenttype")
+    """Names within one file of several rows that all share an e-mail address with each other and contradict each other in no postcode."""
+    code = F.when(T.postcode_key(F.col("postcode")) != "", T.postcode_key(F.col("postcode")))
+    facts = F.struct(F.array_sort(F.array_distinct(F.coalesce("contacts.emails", F.array().cast("array<string>")))).alias("mails"), code.alias("code"))
+    block = K.joined(F.col("sourcefile.filename"), T.suffix_split(T.hotel_name(F.col("name"))).base).alias("block")
+    m = table(spark, d, "raw_hotels").select(block, F.col("seq").alias("id"), facts.alias("x"))
+    return rules.agreeing_blocks(m, "block", lambda l, r: grouping.overlaps(l.mails, r.mails) & F.coalesce(l.code == r.code, F.lit(True)))
 
 
 def shadow_aggregates(spark: SparkSession, d: str) -> DataFrame:

@@ -232,13 +232,17 @@ SQL = {
         select distinct first_seq, seq from f where seq > first_seq""",
     "survivor_merge": f"""with g as {_GRP}, s as (select *, case when coalesce(location.district <> '' and location.locality <> '' and upper(location.district) <> upper(location.locality) and contains(upper(location.district), upper(location.locality)), false) then 10000 else 100 end
           + case when location.postcode <> '' then 1000 else 0 end + case when location.address <> '' then 100 + length(location.address) else 0 end + case when location.locality <> '' then 10 else 0 end + case when location.district <> '' then 1 else 0 end as ls from g),
-        p as (select dup_group, string_agg(distinct v, ',' order by v) as phones from (select dup_group, unnest(contacts.phones) as v from g) group by 1)
-        select s.dup_group, arg_max_null(location.address, (ls, _id)) as address, max(ls)::int as location_score, arg_min(operator, _id) filter (operator is not null) as operator, coalesce(any_value(p.phones), '') as phones,
-          case when count(capacity.rooms) = count(*) then sum(capacity.rooms)::bigint end as rooms_sum, count(*) as n from s left join p on p.dup_group = s.dup_group group by s.dup_group""",
-    "capacity_merge": f"""with g as {_GRP}, e as (select dup_group, arg_min(capacity, _id) as o, arg_max(capacity, _id) as n from g group by 1),
-        c as (select dup_group, o.rooms as r, o.beds as b, n.rooms as nr, n.beds as nb, coalesce(n.rooms <= 0 or n.beds <= 0, false) as bad, o.rooms is not null and o.beds is not null as ofull, n.rooms is not null and n.beds is not null as nfull from e),
-        f as (select *, ofull and nfull and (r <> nr or b <> nb) and not bad as cf from c)
-        select dup_group, case when bad or cf then r when nfull and not ofull then nr else coalesce(r, nr) end as rooms, case when bad or cf then b when nfull and not ofull then nb else coalesce(b, nb) end as beds, cf as conflict from f""",
+        p as (select dup_group, f, string_agg(distinct v, ',' order by v) as vs from (select dup_group, 'phones' as f, unnest(contacts.phones) as v from g union all select dup_group, 'emails', unnest(contacts.emails) from g
+          union all select dup_group, 'websites', unnest(contacts.websites) from g union all select dup_group, 'domains', unnest(contacts.domains) from g) group by 1, 2),
+        q as (select dup_group, max(vs) filter (f = 'phones') as phones, max(vs) filter (f = 'emails') as emails, max(vs) filter (f = 'websites') as websites, max(vs) filter (f = 'domains') as domains from p group by 1)
+        select s.dup_group, arg_max_null(location.address, (ls, _id)) as address, max(ls)::int as location_score, arg_min(operator, _id) filter (operator is not null) as operator, coalesce(any_value(phones), '') as phones, coalesce(any_value(emails), '') as emails,
+          coalesce(any_value(websites), '') as websites, coalesce(any_value(domains), '') as domains, case when count(capacity.rooms) = count(*) then sum(capacity.rooms)::bigint end as rooms_sum, count(*) as n from s left join q on q.dup_group = s.dup_group group by s.dup_group""",
+    "capacity_merge": f"""with recursive g as {_GRP}, n as (select dup_group, capacity.rooms as nr, capacity.beds as nb, row_number() over (partition by dup_group order by _id) as i from g),
+        f as (select dup_group, i, nr as rooms, nb as beds, false as conflict from n where i = 1
+          union all select f.dup_group, n.i, case when bad or differ then rooms when nfull and not ofull then nr else coalesce(rooms, nr) end, case when bad or differ then beds when nfull and not ofull then nb else coalesce(beds, nb) end, conflict or differ
+          from f join n on n.dup_group = f.dup_group and n.i = f.i + 1, lateral (select coalesce(nr <= 0 or nb <= 0, false) as bad, rooms is not null and beds is not null as ofull, nr is not null and nb is not null as nfull) x,
+            lateral (select ofull and nfull and not bad and (rooms <> nr or beds <> nb) as differ) y)
+        select dup_group, rooms, beds, conflict from f qualify row_number() over (partition by dup_group order by i desc) = 1""",
     "quality_issues": """with i as (select concat_ws(',', case when coalesce(rooms <= 0, false) or coalesce(beds <= 0, false) then 'invalid_capacity' end, case when coalesce(trim(name), '') = '' then 'missing_name' end,
           case when coalesce(trim(establishmenttype), '') = '' or coalesce(trim(region), '') = '' or coalesce(trim(locality), '') = '' then 'missing_required_identity_fields' end) as issues from raw_hotels)
         select issues, count(*) as n from i group by 1""",
@@ -258,7 +262,7 @@ SQL = {
     "clique_groups": f"""with h as (select seq, sourcefile.filename as f, {_hn('name')} as n, contacts.emails as mails, nullif({_pc('postcode')}, '') as code, establishmenttype from raw_hotels),
         m as (select f || '|' || case when regexp_extract(n, '{_BASE}', 4) <> '' then trim(regexp_extract(n, '{_BASE}', 1)) else n end as block, * from h),
         p as (select a.block, bool_and(len(list_intersect(a.mails, b.mails)) > 0) as ov from m a join m b on a.block = b.block and a.seq < b.seq group by 1)
-        select m.block, count(distinct seq) as members, count(distinct establishmenttype) as kinds, any_value(p.ov) and count(distinct code) <= 1 and bool_and(len(mails) > 0) as is_clique from m join p on p.block = m.block group by m.block having count(distinct seq) > 1""",
+        select m.block, count(distinct seq) as members from m join p on p.block = m.block where p.ov group by m.block having count(distinct seq) > 1 and count(distinct code) <= 1""",
     "shadow_aggregates": """select o_orderkey, count(*) as parts, round(sum(l_extendedprice), 2) as sum_price from orders join lineitem on l_orderkey = o_orderkey group by o_orderkey, o_totalprice
         having count(*) >= 3 and count(l_extendedprice) = count(*) and o_totalprice > max(l_extendedprice) and sum(l_extendedprice) > 0 and abs(sum(l_extendedprice) - o_totalprice) / sum(l_extendedprice) <= 0.2""",
     "capacity_collapse": f"""with h as (select seq, sourcefile.filename as f, {_hn('name')} as n, establishmenttype, rooms, beds from raw_hotels),
@@ -266,7 +270,7 @@ SQL = {
         w as (select *, first_value(rooms) over (partition by block order by seq) as fr, first_value(beds) over (partition by block order by seq) as fb from m)
         select block, count(*) as members, min(seq) as keeper from w group by block having count(*) > 1 and count(distinct establishmenttype) = 1 and bool_and(coalesce(rooms = fr, true) and coalesce(abs(beds - fb) <= 10, true))""",
     "similar_addresses": f"""with a as (select distinct sourcefile.filename as filename, {_pc('postcode')} as code, {_af(_nt('address'))} as address from raw_hotels where address is not null and postcode is not null),
-        n as (select *, regexp_extract(address, '^\\s*([0-9]+)', 1) as num from a)
+        n as (select *, regexp_extract(address, '^([0-9]+[A-Z]?)', 1) as num from a)
         select l.filename, l.address as a, r.address as b from n l join n r on l.filename = r.filename and l.code = r.code and l.num = r.num and l.num <> '' and l.address < r.address
         where levenshtein(l.address, r.address)::double / greatest(length(l.address), length(r.address)) <= 0.25""",
     "edge_distances": f"""with e as (select distinct on (_id) _id, floor({_hav('hotelpoint.coordinates[1]', 'hotelpoint.coordinates[2]', 'beachpoint.coordinates[1]', 'beachpoint.coordinates[2]', 6371000)} + 0.5)::bigint as metres from hotel_beach_access_edges where hotelpoint is not null and beachpoint is not null)

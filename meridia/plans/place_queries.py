@@ -51,10 +51,14 @@ and 2 * 6371000 * asin(sqrt(pow(sin(radians(p.y - b.y) / 2), 2) + cos(radians(b.
 
 
 def p3_inside(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hotel points within the outlines of active beaches."""
-    beaches = active_beaches(spark, sf_dir).where("geometry like '%\"Polygon\"%'")
-    rings = F.from_json("geometry", "coordinates array<array<array<double>>>")["coordinates"]
-    points = hotel_points(spark, sf_dir)
+    """Hotel points, and the beaches' own points, within the outlines of active beaches, of several parts too."""
+    active = active_beaches(spark, sf_dir)
+    kind = F.get_json_object("geometry", "$.type")
+    one = F.from_json("geometry", "coordinates array<array<array<double>>>")["coordinates"]
+    many = F.flatten(F.from_json("geometry", "coordinates array<array<array<array<double>>>>")["coordinates"])
+    rings = F.when(kind == "Polygon", one).when(kind == "MultiPolygon", many)
+    beaches = active.where(kind.isin("Polygon", "MultiPolygon"))
+    points = hotel_points(spark, sf_dir).unionByName(_at(active, "pointid", "point"))
     inside = points_in_regions(points, ring_edges(beaches, "_id", rings).distinct(), REGION_STRIP)
     return inside.join(points, ["lng", "lat"]).select(F.col("region").alias("beachid"), "pointid").distinct()
 
@@ -63,7 +67,8 @@ P3_INSIDE_SQL = """
 with pts as (
   select g._id as pointid, g.point.coordinates[1] as x, g.point.coordinates[2] as y from hotel_geo_candidates g
   where g.source.importrunid = (select _id from geo_import_runs where status = 'COMPLETED' and importkind = 'HOTELS' order by startedat desc, _id desc limit 1)
-  union select _id, hotelpoint.coordinates[1], hotelpoint.coordinates[2] from hotel_beach_access_edges),
+  union select _id, hotelpoint.coordinates[1], hotelpoint.coordinates[2] from hotel_beach_access_edges
+  union select _id, point.coordinates[1], point.coordinates[2] from beach_profiles where datasetversion = 4 and lifecycle.status = 'ACTIVE'),
 b as (select distinct _id as beachid, from_json(geometry, '{"coordinates": [[["DOUBLE"]]]}').coordinates as rings from beach_profiles
   where datasetversion = 4 and lifecycle.status = 'ACTIVE' and geometry like '%"Polygon"%'),
 ring as (select beachid, unnest(rings) as v from b),

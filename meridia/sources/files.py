@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meridia.functions.text import file_region
@@ -48,6 +48,26 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def publish_release(components: dict[str, tuple[DataFrame, int | None]], target: str, column: str = "datasetversion") -> dict[str, int]:
+    """Write each component's pinned version anew under target/<name>; gives the pinned versions. A component without one is an error, and then nothing is written."""
+    missing = sorted(n for n, (_, v) in components.items() if v is None)
+    if missing:
+        raise ValueError(f"no version pinned for {', '.join(missing)}")
+    for name, (df, version) in components.items():
+        df.where(F.col(column) == version).write.mode("overwrite").parquet(f"{target}/{name}")
+    return {n: v for n, (_, v) in components.items()}
+
+
+def at_version(spark: SparkSession, path: str, version: int, column: str = "datasetversion") -> DataFrame:
+    """The rows of one published version; other versions' partitions aren't read."""
+    return spark.read.parquet(path).where(F.col(column) == version)
+
+
+def source_path(folder: str, name: str) -> str:
+    """A source's file: as given where it is absolute, else within the folder."""
+    return name if name.startswith("/") or "://" in name else f"{folder.rstrip('/')}/{name}"
+
+
 def publish(df: DataFrame, path: str, version: int, column: str = "datasetversion") -> None:
     """The rows of one version replace that version's partition; other versions stay."""
     df.where(F.col(column) == version).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
