@@ -277,6 +277,14 @@ SQL = {
         select _id, metres, ceil(metres / 1.25)::bigint as seconds from e""",
     "radius_search": f"with {_POINTS} select pid as id, round(m, 3) as metres from (select pid, {_hav('33.0', '35.0', 'x', 'y', 6378100)} as m from okp) where m <= 10000 order by m, pid limit 50",
     "nearest_beaches": f"with {_POINTS}, k as ({_KNN}) select pid, cid, round(m, 3) as metres, rank::int as rank from k where rank <= 20",
+    "beach_routes": f"""with {_POINTS}, k as (select * from ({_KNN}) where rank <= 20), s as (select *, json_extract_string(geometry::json, '$.type') as kind from k),
+        line as (select pid, cid, x, y, p[floor(q * (len(p) - 1) + 0.5)::int + 1] as t from (select *, from_json(geometry, '{{"coordinates": [["DOUBLE"]]}}').coordinates as p, unnest([0.0, 0.25, 0.5, 0.75, 1.0]) as q from s where kind = 'LineString')),
+        vert as (select pid, cid, x, y, p[i] as t, i from (select *, unnest(range(1, len(p) + 1)) as i from (select *, from_json(geometry, '{{"coordinates": [[["DOUBLE"]]]}}').coordinates[1] as p from s where kind = 'Polygon'))),
+        area as (select pid, cid, x, y, t from vert qualify row_number() over (partition by pid, cid order by floor({_hav('x', 'y', 't[1]', 't[2]', 6371000)} + 0.5), i) <= 5),
+        own as (select pid, cid, x, y, [bx, by_] as t from s where kind not in ('LineString', 'Polygon')),
+        r as (select distinct pid, cid, t, floor({_hav('x', 'y', 't[1]', 't[2]', 6371000)} + 0.5)::bigint as m from (select * from line union all select * from area union all select * from own)),
+        n as (select pid, cid, m, row_number() over (partition by pid, cid order by m, t) as i from r)
+        select pid, cid, max(m) filter (i = 1) as metres, ceil(max(m) filter (i = 1) / 1.25)::bigint as seconds, coalesce(string_agg(m::varchar, ',' order by i) filter (i in (2, 3)), '') as alternatives from n group by 1, 2""",
     "representative_points": """with v as (select _id, datasetversion, geometry, from_json(('[' || regexp_replace(regexp_replace(json_extract(geometry::json, '$.coordinates')::varchar, '[\\[\\]]', '', 'g'), '\\s', '', 'g') || ']')::json, '["DOUBLE"]') as c from beach_profiles)
         select _id, datasetversion, round(list_avg(list_filter(c, lambda x, i: i % 2 = 1)), 9) as lng, round(list_avg(list_filter(c, lambda x, i: i % 2 = 0)), 9) as lat from v""",
     "hash_diff_upsert": f"select _id, action from {_DIFF.format(3)}",

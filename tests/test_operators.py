@@ -55,20 +55,6 @@ def test_fold(spark):
     assert {tuple(r) for r in dedupe.fold_in_order(df, ["k"], "seq", fold, "k string, all string").collect()} == {("f", "ab"), ("g", "-")}
 
 
-def test_cliques_against_brute(spark):
-    import itertools
-    import random
-
-    rnd = random.Random(1)
-    rows = [(f"b{rnd.randrange(12)}", i, [rnd.choice("xyz") for _ in range(rnd.randrange(3))] or None, rnd.choice(["1", None]) if rnd.random() < 0.9 else "2", rnd.choice("pq")) for i in range(40)]
-    got = {r.b: (r.members, r.is_clique) for r in grouping.clique_groups(spark.createDataFrame(rows, "b string, i int, a array<string>, c string, k string"), "b", "i", {"a": "overlap", "c": "equal"}, "k").collect()}
-    for b in {r[0] for r in rows}:
-        m = [r for r in rows if r[0] == b]
-        if len(m) > 1:
-            ok = all(set(p[2] or []) & set(q[2] or []) and (p[3] is None or q[3] is None or p[3] == q[3]) for p, q in itertools.combinations(m, 2))
-            assert got[b] == (len(m), ok)
-
-
 def test_shadow_and_collapse(spark):
     total = spark.createDataFrame([("a", 11, 64), ("b", 100, 100), ("c", None, 5)], "k string, rooms int, beds int")
     part = spark.createDataFrame([("a", 1, 6)] * 12 + [("b", 1, 6)] * 3 + [("c", 1, None)] * 3, "k string, rooms int, beds int")
