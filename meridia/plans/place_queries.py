@@ -92,11 +92,15 @@ select seq, '{f}' as field_name, (row_number() over (partition by seq order by i
       from (select seq, unnest(range(1, len(contacts.{f}) + 1)) as i, regexp_replace(unnest(contacts.{f}), '^\\s*\\[\\s*(".*")\\s*\\]\\s*$', '\\1') as e from raw_hotels)))
   where v <> '') where most > 1
 """
+#: Within quotes every second part of a text split at its quote marks, but for a last one that no mark closes.
+_HIDE = "array_to_string(list_transform(string_split({e}, '\"'), lambda x, k: case when k % 2 = 0 and k < len(string_split({e}, '\"')) then replace(replace(replace(x, ',', chr(57346)), ';', chr(57347)), ' ', chr(57348)) else x end), '\"')"
 P7_SQL = " union all ".join(
     (
-        _P7_FIELD.format(f="phones", protect="e", split=r"\s*[,;/|&]+\s*|\s*[\r\n\t]+\s*|\s+and\s+"),
-        _P7_FIELD.format(f="emails", protect="regexp_replace(e, '\"Desk, Front\"\\s', '\"Desk' || chr(57346) || chr(57348) || 'Front\"' || chr(57348), 'g')", split=r"\s*[,;/|&]+\s*|\s+and\s+|\s+"),
-        _P7_FIELD.format(f="websites", protect="regexp_replace(regexp_replace(e, '(\\?ids=\\d+),', '\\1' || chr(57346), 'g'), '(\\?a=\\d+);', '\\1' || chr(57347), 'g')", split=r"\s*[,;|]+\s*|\s+and\s+|\s+"),
+        _P7_FIELD.format(f="phones", protect=_HIDE.format(e="e"), split=r"\s*[,;/|&]+\s*|\s*[\r\n\t]+\s*|\s+and\s+"),
+        # the blank between a display name and its address stays
+        _P7_FIELD.format(f="emails", protect="regexp_replace(" + _HIDE.format(e="e") + ", '\\s+<', chr(57348) || '<', 'g')", split=r"\s*[,;/|&]+\s*|\s+and\s+|\s+"),
+        # , and ; within a link stand before something that begins no new one
+        _P7_FIELD.format(f="websites", protect="regexp_replace(regexp_replace(" + _HIDE.format(e="e") + ", ',([^\\s,;|\"hHwW])', chr(57346) || '\\1', 'g'), ';([^\\s,;|\"hHwW])', chr(57347) || '\\1', 'g')", split=r"\s*[,;|]+\s*|\s+and\s+|\s+"),
     )
 )
 
