@@ -26,7 +26,7 @@ PROSE_GRAMS = 4_000_000
 #: Counting takes so many characters at once; a partition's counts leave it in so many parts.
 AT_ONCE, PARTS = 1_000_000, 16
 #: For wording and for slots: a window's width in characters, and the mean ratio at which it is residue. A passage of wording also needs the least sum.
-WINDOWS, RATIOS, LEAST_SUM = (20, 3), (1.2, 1.5), 14.0
+WINDOWS, RATIOS, LEAST_SUM = (20, 3), (1.2, 1.5), 20.0
 #: A slot needs this sum over its characters; a mark that only slots have counts as so much.
 SLOT_SUM, MARK = 20.0, 18.0
 #: A document goes where more than this share of it is residue: any, as the rest of it is no content of its own to rely on.
