@@ -27,7 +27,7 @@ PROSE_GRAMS = 4_000_000
 AT_ONCE, PARTS = 1_000_000, 16
 #: For wording and for slots: a window's width in characters, and the mean ratio at which it is residue. A passage of wording also needs the least sum.
 WINDOWS, RATIOS, LEAST_SUM = (20, 3), (1.2, 1.5), 20.0
-#: A slot needs this sum over its characters; a mark that only slots have counts as so much.
+#: A slot needs this sum over its characters; a mark that only slots have counts as so much, as does a note's first word for its sentence.
 SLOT_SUM, MARK = 20.0, 18.0
 #: A document goes where more than this share of it is residue: any, as the rest of it is no content of its own to rely on.
 LEAST_COVERAGE = 0.0
@@ -103,6 +103,8 @@ NOTICES = (
     "Hata 404: Sayfa bulunamadı. Aradığınız sayfa bulunamadı. Sunucu hatası. Erişim engellendi. Hizmet şu anda kullanılamıyor. Lütfen daha sonra tekrar deneyin. Veritabanına bağlanılamadı.",
     "Bu sayfayı görüntülemek için tarayıcınızda JavaScript'i etkinleştirin. JavaScript devre dışı. Bu sayfayı görmek için giriş yapmalısınız. Oturumunuzun süresi doldu. Lütfen tekrar giriş yapın.",
 )
+#: Words that programmers and editors begin a note to themselves with.
+_NOTE = re.compile(r"\s*(?:TODO|FIXME|TBD|TBC|TBA)\b\s*[:\-–]")
 #: Whole passages that code, nowiki marks or a quotation hold.
 _CODE = re.compile(r"<(nowiki|syntaxhighlight|code|pre|source)\b[^>]*>.*?</\1\s*>", re.I | re.S)
 _QUOTED = re.compile(r"\"[^\"\n]{0,300}\"|„[^“\n]{0,300}“|“[^”\n]{0,300}”|«[^»\n]{0,300}»|(?<!')''(?!')[^'\n]{0,300}''(?!')")
@@ -262,7 +264,8 @@ def residue(text: str | None, ratios: np.ndarray) -> list[tuple[int, int, str]]:
                 continue
             done = y
             g = ratios[0][_grams(_codes(free[x:y], 0))]
-            if len(free[x:y].strip()) >= 0.6 * (y - x) and g.sum() >= min(LEAST_SUM, 0.8 * len(g)):
+            likely = g.sum() + (MARK if _NOTE.match(free, x) else 0.0)
+            if len(free[x:y].strip()) >= 0.6 * (y - x) and likely >= min(LEAST_SUM, 0.8 * len(g)):
                 out.append((x, y, "wording"))
     return out
 
