@@ -4,7 +4,8 @@ Both sides' names, telephones, links, e-mail addresses and postal addresses
 become blocking tokens; distinct names and streets meet by MinHash bands, and
 like ones share a token. Pairs that share a token get similarity features, and a
 logistic classifier, fitted on weak labels and calibrated on objects held out,
-gives each pair a probability.
+gives each pair a probability. Pairs that share nothing but what a crowd shares
+are made only if the fitted classifier could let one of them count.
 """
 
 from __future__ import annotations
@@ -298,10 +299,12 @@ def calibrate(score: np.ndarray, y: np.ndarray, n: np.ndarray | None = None) ->
     return float(max(a, 0.05)), float(b)
 
 
-_RECORD = "rec string, contacts array<string>, cores array<string>, streets array<string>, by_name array<string>, by_other array<string>"
-#: The three lowest bits of a token tell its kind: telephone, link, mail, name, address, or something that only stands beside another.
-_KINDS = {"p": 0, "u": 1, "h": 1, "m": 2, "n": 3, "a": 4}
-_NAME, _BESIDE = 3, 7
+_RECORD = "rec string, contacts array<string>, cores array<string>, words array<string>, streets array<string>, by_name array<string>, by_other array<string>"
+#: The three lowest bits of a token tell its kind: telephone, link, mail, name, address, word of a hotel's links or mails that is not its name, or something that only stands beside another.
+_KINDS = {"p": 0, "u": 1, "h": 1, "m": 2, "n": 3, "a": 4, "w": 5}
+_NAME, _ADDRESS, _WORD, _BESIDE = 3, 4, 5, 7
+#: Kinds of tokens that no feature by itself speaks for once many hotels have them.
+_WEAK = (0, 1, 2, _WORD)
 
 
 def _rows(records: list[dict], hotel: bool) -> pd.DataFrame:
@@ -309,7 +312,8 @@ def _rows(records: list[dict], hotel: bool) -> pd.DataFrame:
         {
             "rec": [json.dumps(r) for r in records],
             "contacts": [contact_tokens(r) for r in records],
-            "cores": [sorted({n[0] for n in r["n"] + r["d"]}) for r in records],
+            "cores": [sorted({n[0] for n in r["n"] + ([] if hotel else r["d"])}) for r in records],
+            "words": [sorted({n[0] for n in r["d"]} - {n[0] for n in r["n"]}) if hotel else [] for r in records],
             "streets": [[f"{r['a'][0]}|{r['a'][1]}"] if r["a"] else [] for r in records],
             "by_name": [beside_name(r) for r in records],
             "by_other": [beside_other(r, hotel) for r in records],
@@ -393,28 +397,34 @@ def _street_alike(a: str, b: str) -> bool:
 def with_tokens(hotels: DataFrame, objects: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both sides with tokens, and what may stand beside a crowded name's token and beside others.
 
-    A hotel's tokens are its contacts, cores and streets; an object has a
-    hotel's core or street as a token where one of its own is like it.
+    A hotel's tokens are its contacts, cores, words and streets; an object has a
+    hotel's core, word or street as a token where one of its own is like it.
     """
     text = lambda df, c, n: df.select(F.explode(c).alias(n))
     pairs = [
-        like_texts(text(hotels, "cores", "held"), text(objects, "cores", "asked"), core_bands, lambda a, b: core_relation(a, b) > 0),
+        like_texts(text(hotels, F.concat("cores", "words"), "held"), text(objects, "cores", "asked"), core_bands, lambda a, b: core_relation(a, b) > 0),
         like_texts(text(hotels, "streets", "held"), text(objects, "streets", "asked"), _street_bands, _street_alike),
     ]
+    hotels = hotels.withColumn("w", _numbers("words", _WORD))
     for c, kind, near in zip(("cores", "streets"), "na", pairs):
         hotels = hotels.withColumn(kind, _numbers(c, _KINDS[kind]))
         found = objects.select("oid", F.explode(c).alias("asked")).join(near.hint("merge"), "asked").groupBy("oid").agg(F.collect_set(_number(F.col("held"), F.lit(_KINDS[kind]))).alias(kind))
         objects = objects.join(found.hint("merge"), "oid", "left").withColumn(kind, F.coalesce(kind, F.array().cast("array<long>")))
-    out = lambda df, k: df.select(k, F.array_distinct(F.concat(_numbers("contacts"), "n", "a")).alias("tokens"), _numbers("by_name").alias("by_name"), F.concat(_numbers("by_other"), "n").alias("by_other"))
+    objects = objects.withColumn("w", F.transform("n", lambda t: t.bitwiseAND(F.lit(~7)).bitwiseOR(F.lit(_WORD).cast("long"))))
+    placed = F.filter("by_other", lambda x: x.rlike(r"^(any:|unnamed:|c|a[^|]*\|)"))
+    out = lambda df, k: df.select(k, F.array_distinct(F.concat(_numbers("contacts"), "n", "a", "w")).alias("tokens"), _numbers("by_name").alias("by_name"), F.concat(_numbers("by_other"), "n").alias("by_other"), F.transform(placed, lambda x: _number(x, F.lit(_BESIDE))).alias("by_contact"))
     return cut(out(hotels, "hid")), cut(out(objects, "oid"))
 
 
 def candidate_pairs(hotels: DataFrame, objects: DataFrame) -> DataFrame:
-    """(hid, oid): pairs that share a token, each once.
-
-    hotels: hid, tokens, by_name, by_other; objects: oid and the same. A token
-    of more than HEAVY hotels joins only with something else that both sides
-    have, of by_name for a name's and of by_other for others. Combinations of
+    """(hid, oid): pairs that share a token, each once, but for those that share only what a crowd has.
+
+    hotels: hid, tokens, by_name, by_other, by_contact; objects: oid and the
+    same. A token of more than HEAVY hotels joins only with something else that
+    both sides have: of by_name for a name's, of by_other for an address's, of
+    by_contact for a contact's or a word's. Such pairs share no name, address or
+    light contact besides, or they would meet by that. The others are crowd_rest's,
+    and counts tells whether any could matter. Combinations of
     more than TOGETHER hotels are joined by crowded_pairs, so that a pair that
     shares many of them is made once; none is left out.
     """
@@ -428,8 +438,9 @@ def candidate_pairs(hotels: DataFrame, objects: DataFrame) -> DataFrame:
 
     def second(df: DataFrame, side: DataFrame, k: str) -> DataFrame:
         # the few rows of heavy tokens fetch what stands beside them, rather than all rows carry it
-        beside = F.when(_kind(F.col("token")) == _NAME, F.col("by_name")).otherwise(F.col("by_other"))
-        return df.join(heavy.select("token"), "token").join(side.select(k, "by_name", "by_other").hint("merge"), k).select(k, "token", F.explode(F.array_distinct(beside)).alias("second")).where("second <> token")
+        kind = _kind(F.col("token"))
+        beside = F.when(kind == _NAME, F.col("by_name")).when(kind == _ADDRESS, F.col("by_other")).otherwise(F.col("by_contact"))
+        return df.join(heavy.select("token"), "token").join(side.select(k, "by_name", "by_other", "by_contact").hint("merge"), k).select(k, "token", F.explode(F.array_distinct(beside)).alias("second")).where("second <> token")
 
     mine, theirs = cut(second(th, hotels, "hid")), second(to, objects, "oid")
     both = mine.groupBy("token", "second").agg(F.count("*").alias("both"))
@@ -441,6 +452,39 @@ def candidate_pairs(hotels: DataFrame, objects: DataFrame) -> DataFrame:
     return easy.unionAll(hard).unionByName(crowd).distinct()
 
 
+def highest(w: np.ndarray, b: float) -> dict[tuple[int, ...], float]:
+    """By kinds of tokens, the highest score of a pair that shares tokens of more than HEAVY hotels, of these kinds, and that candidate_pairs leaves out.
+
+    Both sides agree on no address, and no contact of one hotel. Of a crowded
+    contact or word the names are others, as names that are alike share a token;
+    of a crowded name the other facts disagree or are missing, and its qualifiers
+    or number are others.
+    """
+    v = dict(zip(FEATURES, w))
+    any_of = lambda *names: max(0.0, *(v[k] for k in names))
+    against = v["bias"] + b + any_of("phone_other") + any_of("number_other", "street_other") + any_of("town_other") + any_of("kind_other") + any_of("shop")
+    own = ("own", "shared") if HEAVY < 1 else ("shared",)
+    shared = sum(any_of(*(f"{k}_{x}" for x in own)) for k in ("phone", "link", "mail"))
+    weak = against + shared + any_of("name_other") + any_of("derived_other") + any_of("code_same", "code_other") + any_of("rooms_same", "rooms_other")
+    name = against + any_of("name_family", "name_other") + any_of("derived_core", "derived_family", "derived_other") + any_of("code_other") + any_of("rooms_other")
+    return {_WEAK: weak, (_NAME,): name}
+
+
+def counts(score: float) -> bool:
+    """Whether a pair of this score could be a link, or stand in the way of one."""
+    return score >= float(np.log(LEAST_P / (1 - LEAST_P))) - GAP
+
+
+def crowd_rest(hotels: DataFrame, objects: DataFrame, kinds: tuple[int, ...]) -> DataFrame:
+    """(hid, oid): all pairs that share a token of these kinds and of more than HEAVY hotels, each once; as many as the crowd's hotels times its objects."""
+    of = lambda df, k: df.select(k, F.explode("tokens").alias("token")).where(_kind(F.col("token")).isin(*kinds))
+    th = of(hotels, "hid")
+    heavy = cut(th.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > HEAVY).select("token", F.lit(0).alias("second")))
+    if heavy.isEmpty():
+        return th.select("hid", F.lit(0).cast("long").alias("oid")).limit(0)
+    return crowded_pairs(th.join(heavy.hint("merge"), "token"), of(objects, "oid").join(heavy.hint("merge"), "token")).distinct()
+
+
 def crowded_pairs(mine: DataFrame, theirs: DataFrame) -> DataFrame:
     """(hid, oid): all pairs that share a combination, each once.
 
@@ -491,18 +535,27 @@ def match_entities(hotels: DataFrame, objects: DataFrame) -> DataFrame:
     hotels: hid and the columns of _RECORD; objects: oid and the same, an object
     in as many rows as it has readings; a pair gets its best reading's
     probability. Records without any token have no pair; repeated rows add
-    nothing; empty tables give an empty result.
+    nothing; empty tables give an empty result. Pairs that share only what a crowd
+    has are left out where the weights keep each of them from being a link and from
+    standing in the way of one, and made otherwise.
     """
     hotels = hotels.dropDuplicates(["hid"])
     reading = objects.dropDuplicates(["oid", "rec"]).withColumn("reading", F.xxhash64("oid", "rec"))
     th, to = with_tokens(hotels, reading.drop("oid").withColumnRenamed("reading", "oid"))
-    pairs = candidate_pairs(th, to).withColumnRenamed("oid", "reading")
     mine = hotels.select("hid", F.col("rec").alias("h")).join(contact_counts(th).hint("merge"), "hid", "left")
     theirs = reading.select("reading", "oid", F.col("rec").alias("o"), _numbers("contacts").alias("theirs"))
-    # joins merge throughout: records and tokens compress well, and what looks small enough to broadcast is not
-    both = spread(pairs.join(mine.hint("merge"), "hid"), "reading").join(theirs.hint("merge"), "reading").select("hid", "oid", "h", "o", *[_fewest(k).alias(f"k{k}") for k in range(3)])
-    made = cut(both.select("hid", "oid", F.pandas_udf(_features, "array<double>")("h", "o", "k0", "k1", "k2").alias("x")))
+
+    def featured(pairs: DataFrame) -> DataFrame:
+        # joins merge throughout: records and tokens compress well, and what looks small enough to broadcast is not
+        read = pairs.withColumnRenamed("oid", "reading")
+        both = spread(read.join(mine.hint("merge"), "hid"), "reading").join(theirs.hint("merge"), "reading").select("hid", "oid", "h", "o", *[_fewest(k).alias(f"k{k}") for k in range(3)])
+        return cut(both.select("hid", "oid", F.pandas_udf(_features, "array<double>")("h", "o", "k0", "k1", "k2").alias("x")))
+
+    made = featured(candidate_pairs(th, to))
     w, b = fit_sample(made)
+    for kinds, most in highest(w, b).items():
+        if counts(most):
+            made = made.unionByName(featured(crowd_rest(th, to, kinds)))
     return _scored(made, w, b).groupBy("oid", "hid").agg(F.max("score").alias("score"), F.max("probability").alias("probability"))
 
 

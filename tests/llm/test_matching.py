@@ -157,3 +157,53 @@ def test_fit_and_calibration():
     p = 1 / (1 + np.exp(-(a * (x @ w) + b)))
     assert abs(p.mean() - y.mean()) < 0.05
     assert np.isfinite(M.fit(x[:0], y[:0])).all() and M.calibrate(np.zeros(0), np.zeros(0)) == (1.0, 0.0)
+
+
+def crowd_of_a_host(spark):
+    """Hotels of one host only, of which one has the rooms of a nameless object of that host."""
+    n = M.HEAVY + 10
+    core = lambda i: "".join("BDGKLM"[int(d)] + "AEIOUA"[int(d)] for d in np.base_repr(i + 216, 6)) + "ZUR"
+    hotels = [(f"h{i}", f"{core(i)} HOTEL", {"phones": [], "emails": [], "websites": [f"www.stayfinder.example/cy/{i}.html"]}, {"address": None, "postcode": None, "locality": None}, 10.0 + i) for i in range(n)]
+    h = spark.createDataFrame(hotels, "hid string, n string, c struct<phones:array<string>,emails:array<string>,websites:array<string>>, l struct<address:string,postcode:string,locality:string>, r double")
+    o = spark.createDataFrame([("o", None, json.dumps({"tourism": "hotel", "website": "http://stayfinder.example/cy", "rooms": "12"})), ("p", "Hopifenes Hotel", json.dumps({"tourism": "hotel", "website": "http://stayfinder.example/cy"}))], "oid string, n string, t string")
+    return n, h.select("hid", F.pandas_udf(M._hotels, M._RECORD)("n", "c", "l", "r").alias("x")).select("hid", "x.*"), o.select("oid", F.pandas_udf(M._objects, M._RECORD)("n", "t").alias("x")).select("oid", "x.*")
+
+
+def test_crowd_is_made_whole_where_it_could_matter(spark, monkeypatch):
+    """Weights that let a shared host and rooms make a link: the pairs that share the host alone are all there, and the one hotel of these rooms is found."""
+    n, h, o = crowd_of_a_host(spark)
+    weights = {"bias": -1.0, "link_shared": 1.0, "rooms_same": 2.0}
+    monkeypatch.setattr(M, "fit_sample", lambda made: (np.array([weights.get(k, -2.0 if k.endswith("_other") else 0.0) for k in M.FEATURES]), 0.0))
+    scored = M.match_entities(h, o)
+    assert sorted((r.oid, r.hid) for r in scored.select("oid", "hid").collect()) == sorted((o, f"h{i}") for i in range(n) for o in "op")
+    assert [(r.oid, r.hid) for r in M.best_links(scored).collect()] == [("o", "h2")]
+
+
+def test_no_left_out_pair_reaches_the_highest(spark):
+    """Random records that share a crowded host or name, held against all pairs: what candidate_pairs leaves out scores no more than highest tells."""
+    import random
+
+    rnd = random.Random(4)
+    pick = lambda *x: rnd.choice(x)
+    name = lambda: f"{pick('KOLANUMES', 'ZURIVABES', 'HOPIFENES')} {pick('BAY', 'HILLS', 'PARK', '')} {pick('HOTEL', 'VILLAS')} {pick('', '2', '3')}"
+    site = lambda: pick("www.stayfinder.example/cy", "www.roomlist.example", "www.kolanumes.example", None)
+    hotels = [(f"h{i}", name(), {"phones": [pick("+35722123456", f"+3572{i:07d}")], "emails": [], "websites": [site()]}, {"address": pick(None, "5 Korazari Street", "7 Korazari Street", "5 Hulepo Street"), "postcode": pick(None, "4000", "4001"), "locality": pick(None, *CITIES)}, 10.0 + i % 4) for i in range(4 * M.HEAVY)]
+    tags = lambda i: {k: v for k, v in {"tourism": "hotel", "website": site(), "phone": pick(None, "22 123456", f"+3579{i:07d}"), "addr:city": pick(None, *CITIES), "addr:postcode": pick(None, "4000", "4001"), "rooms": pick(None, "10", "12"), "addr:full": pick(None, "5 Korazari Street", "9 Korazari Street")}.items() if v}
+    objects = [(f"o{i}", pick(None, name().title()), json.dumps(tags(i))) for i in range(60)]
+    h = spark.createDataFrame(hotels, "hid string, n string, c struct<phones:array<string>,emails:array<string>,websites:array<string>>, l struct<address:string,postcode:string,locality:string>, r double")
+    o = spark.createDataFrame(objects, "oid string, n string, t string")
+    hr = h.select("hid", F.pandas_udf(M._hotels, M._RECORD)("n", "c", "l", "r").alias("x")).select("hid", "x.*")
+    obj = o.select("oid", F.pandas_udf(M._objects, M._RECORD)("n", "t").alias("x")).select("oid", "x.*")
+    th, to = M.with_tokens(hr, obj)
+    made = {(r.hid, r.oid) for r in M.candidate_pairs(th, to).collect()}
+    rest = {kinds: {(r.hid, r.oid) for r in M.crowd_rest(th, to, kinds).collect()} - made for kinds in (M._WEAK, (M._NAME,))}
+    left, right = ({r[0]: r for r in df.collect()} for df in (hr, obj))
+    keys = {"p": "phone", "u": "link", "h": "link", "m": "mail"}
+    for kinds, pairs in rest.items():
+        assert pairs
+        for seed in range(3):
+            w = np.random.default_rng(seed).normal(size=len(M.FEATURES))
+            most = M.highest(w, 0.1)[kinds]
+            for a, b in pairs:
+                shared = {keys[t[0]][0]: 2 for t in set(left[a].contacts) & set(right[b].contacts)}
+                assert w @ M.features(json.loads(left[a].rec), json.loads(right[b].rec), shared) + 0.1 <= most + 1e-9
