@@ -1,8 +1,9 @@
 """p1: matching entities across sources without keys.
 
 Both sides' names, telephones, links, e-mail addresses and postal addresses
-become blocking tokens; distinct names and streets meet by MinHash bands, and
-like ones share a token. Pairs that share a token get similarity features, and a
+become blocking tokens; distinct names and streets meet by MinHash bands, short
+names by the texts that leave letters of theirs out, and like ones share a token.
+Records of one content meet once. Pairs that share a token get similarity features, and a
 logistic classifier, fitted on weak labels and calibrated on objects held out,
 gives each pair a probability. Pairs that share nothing but what a crowd shares
 are made only if the fitted classifier could let one of them count.
@@ -18,7 +19,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meridia.llm.addresskit import address, postcode, same_town, towns
@@ -31,8 +32,10 @@ from meridia.session import cut, table
 HEAVY = 50
 #: Combinations of a heavy and a second token that more hotels have are joined by classes of like holders, in blocks of about so many rows a side.
 TOGETHER, BLOCK = 50, 256
-#: q, rows and bands of MinHash. Of names of nine letters one edit apart, of similarity 0.43, one in 400 is lost by its name alone; unlike names hardly meet.
+#: q, rows and bands of MinHash, for streets and for the cores of names of more than SHORT letters.
 NAME_BANDS, STREET_BANDS = (3, 3, 72), (3, 3, 36)
+#: Cores of up to so many letters, and two more, meet by what is left without one or two of them. No like ones are lost, and unlike ones, whose bands meet the more often the more names there are, hardly meet.
+SHORT = 14
 #: The classifier is fitted on at most this many patterns of weakly labelled pairs, chosen by hash, and calibrated on as many of other objects.
 FIT_PAIRS = 10_000
 #: A link needs this probability, and the second best hotel's score must stay below by the gap.
@@ -177,6 +180,7 @@ def beside_other(r: dict, hotel: bool) -> list[str]:
     return sorted(out)
 
 
+@lru_cache(1 << 16)
 def core_relation(a: str, b: str) -> int:
     """Of two names' cores: 3 same, as spelled or romanised; 2 but for one edit; 1 but for two, or one in a short one; 0 others."""
     if a == b or fold(a) == fold(b):
@@ -187,6 +191,7 @@ def core_relation(a: str, b: str) -> int:
     return 1 if short >= 8 and within_two(a, b) else 0
 
 
+@lru_cache(1 << 16)
 def same_street(a: str, b: str) -> bool:
     return a == b or fold(a) == fold(b) or within_two(a, b)
 
@@ -334,7 +339,12 @@ _parsed = lru_cache(1 << 13)(json.loads)
 
 def _features(h: pd.Series, o: pd.Series, p: pd.Series, link: pd.Series, m: pd.Series) -> pd.Series:
     ok = lambda v: int(v) if v == v and v is not None else 0
-    return pd.Series([features(_parsed(a), _parsed(b), {"p": ok(x), "l": ok(y), "m": ok(z)}) for a, b, x, y, z in zip(h, o, p, link, m)])
+    return pd.Series([sum(1 << i for i, v in enumerate(features(_parsed(a), _parsed(b), {"p": ok(x), "l": ok(y), "m": ok(z)})) if v) for a, b, x, y, z in zip(h, o, p, link, m)], dtype="int64")
+
+
+def _unpacked(mask: str) -> Column:
+    """The features of a pair, each 0 or 1, of which bit i of the mask tells the i-th."""
+    return F.array(*[F.col(mask).bitwiseAND(F.lit(1 << i)).cast("boolean").cast("double") for i in range(len(FEATURES))])
 
 
 def _number(text: Column, kind: Column) -> Column:
@@ -348,26 +358,28 @@ def _numbers(texts: str, kind: int | None = None) -> Column:
     return F.transform(texts, lambda x: _number(x, of(x)))
 
 
-def like_texts(held: DataFrame, asked: DataFrame, bands: Callable[[str], list[int]], alike: Callable[[str, str], bool]) -> DataFrame:
-    """(asked, held): distinct texts that share a MinHash band and are alike; each text of both sides meets itself.
+def like_texts(held: DataFrame, asked: DataFrame, keys: Callable[[str], list[int]], alike: Callable[[str, str], bool]) -> DataFrame:
+    """(asked, held): distinct texts that share a key and are alike; each text of both sides meets itself.
 
     held and asked: one column of these names, repeated or not. Texts are made
-    distinct before they are banded, however many records bear them, and verified
+    distinct before they get keys, however many records bear them, and verified
     once.
     """
 
-    def banded(df: DataFrame, c: str) -> DataFrame:
-        once = df.where(F.coalesce(F.col(c) != "", F.lit(False))).select(c).distinct()
-        of = F.pandas_udf(lambda t: pd.DataFrame({"folded": [fold(x) for x in t], "bands": [bands(x) for x in t]}), "folded string, bands array<long>")
-        return once.select(c, of(c).alias("u")).select(c, F.col("u.folded").alias(f"{c}_folded"), F.explode("u.bands").alias("band"))
+    def once(df: DataFrame, c: str) -> DataFrame:
+        # partitions of a number of their own, here and below: keys and verifying cost far more than the bytes tell
+        return spread(df.where(F.coalesce(F.col(c) != "", F.lit(False))).select(c), c).distinct()
+
+    def keyed(df: DataFrame, c: str) -> DataFrame:
+        of = F.pandas_udf(lambda t: pd.Series([keys(x) for x in t]), "array<long>")
+        return df.select(c, F.explode(of(c)).alias("key"))
 
-    # texts are distinct here, so only very many names of one make could fill a band; such a partition adaptive execution splits
-    met = banded(held, "held").join(banded(asked, "asked").hint("merge"), "band")
-    # two edits, be they swaps, are at most four plain ones: what is farther as spelled and as romanised goes unseen
-    near = (F.levenshtein("held", "asked", 4) >= 0) | (F.levenshtein("held_folded", "asked_folded", 4) >= 0)
+    h, a = cut(once(held, "held")), cut(once(asked, "asked"))
+    # texts are distinct here, so only very many names of one make could fill a key; such a partition adaptive execution splits
+    met = keyed(h, "held").join(keyed(a, "asked").hint("merge"), "key").where("held <> asked").select("held", "asked").distinct()
     check = F.pandas_udf(lambda a, b: pd.Series([alike(x, y) for x, y in zip(a, b)], dtype=bool), "boolean")
-    # partitions of a number of their own: verifying costs far more than the bytes tell
-    return spread(met.where(near).select("held", "asked").distinct()).where(check("held", "asked"))
+    same = h.join(a.hint("merge"), F.col("held") == F.col("asked")).select("held", "asked")
+    return same.unionAll(spread(met).where(check("held", "asked")))
 
 
 def spread(df: DataFrame, *by: str) -> DataFrame:
@@ -375,13 +387,23 @@ def spread(df: DataFrame, *by: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
 
+def left_out(text: str, most: int) -> set[str]:
+    """The text, and what is left of it without up to so many of its letters. Two texts share one if so many edits, swaps included, lie between them."""
+    out = level = {text}
+    for _ in range(most):
+        level = {t[:i] + t[i + 1 :] for t in level for i in range(len(t))}
+        out = out | level
+    return out
+
+
 def core_bands(core: str) -> list[int]:
-    """A name core's MinHash bands; a short one, of few shingles, has besides each text that leaves one of its letters out, which any two within one edit share."""
-    out = list(band_keys(core, *NAME_BANDS))
-    for t in {core, fold(core)} if len(core) <= 6 else ():
-        out += [xxhash.xxh64_intdigest(f"short {t[:i]}{t[i + 1 :]}") - (1 << 63) for i in range(len(t))]
-        out.append(xxhash.xxh64_intdigest(f"short {t}") - (1 << 63))
-    return sorted(set(out))
+    """A name core's keys: for a short one each text that leaves letters of it out, as spelled and romanised, as many as core_relation allows edits; for a longer one, of more such texts and more shingles, its MinHash bands.
+
+    Cores of SHORT and up to two more letters have either kind, so any two that are like share a kind.
+    """
+    both = {core, fold(core)}
+    out = {xxhash.xxh64_intdigest(x) - (1 << 63) for t in both if len(t) <= SHORT + 2 for x in left_out(t, 2 if len(core) >= 8 else 1)}
+    return sorted(out.union(band_keys(core, *NAME_BANDS)) if any(len(t) > SHORT for t in both) else out)
 
 
 def _street_bands(text: str) -> list[int]:
@@ -508,11 +530,11 @@ def crowded_pairs(mine: DataFrame, theirs: DataFrame) -> DataFrame:
     return blocks.join(hotels, keys[:2]).join(blocks.join(objects, keys[2:]), keys).select("hid", "oid")
 
 
-def contact_counts(hotels: DataFrame) -> DataFrame:
-    """(hid, held): of each hotel with contacts the number of hotels that hold each of its contact tokens, as a map."""
-    one = hotels.select("hid", F.explode(_contacts("tokens")).alias("token"))
-    count = one.groupBy("token").agg(F.count("*").alias("n"))
-    return one.join(count, "token").groupBy("hid").agg(F.map_from_entries(F.collect_list(F.struct("token", F.col("n").cast("int")))).alias("held"))
+def contact_counts(hotels: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(hid, held): of each record of hotels with contacts the number of hotels that hold each of its contact tokens, as a map. sizes: hid, n, the record's hotels."""
+    one = hotels.select("hid", F.explode(_contacts("tokens")).alias("token")).join(sizes.hint("merge"), "hid")
+    count = one.groupBy("token").agg(F.sum("n").alias("n"))
+    return one.drop("n").join(count, "token").groupBy("hid").agg(F.map_from_entries(F.collect_list(F.struct("token", F.col("n").cast("int")))).alias("held"))
 
 
 def _kind(token: Column) -> Column:
@@ -529,6 +551,45 @@ def _fewest(kind: int) -> Column:
     return F.array_min(F.transform(both, lambda t: F.element_at("held", t)))
 
 
+def collapsed(df: DataFrame, k: str) -> tuple[DataFrame, DataFrame]:
+    """(members, records): k and the number of its record; records by their number, the hash of their content, however many bear it.
+
+    df: k and the columns of _RECORD.
+    """
+    of = df.withColumn("of", F.xxhash64("rec"))
+    return cut(of.select(k, "of").distinct()), cut(of.drop(k).dropDuplicates(["of"]))
+
+
+def scored_records(hotels: tuple[DataFrame, DataFrame], objects: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, np.ndarray, float]:
+    """((hid, oid, mask) of every candidate pair of records, weights, shift): the records' numbers and the pair's features.
+
+    hotels: members (hid, of), each hotel once, and records; objects: members
+    (oid, of), an object in as many rows as it has readings, and records. Equal
+    records make one pair, which weighs in the fit as the hotels and objects that
+    bear them, so copies cost no pairs.
+    """
+    (hm, hr), (om, obj) = hotels, objects
+    hr, obj = hr.withColumnRenamed("of", "hid"), obj.withColumnRenamed("of", "oid")
+    th, to = with_tokens(hr, obj)
+    sizes = hm.groupBy(F.col("of").alias("hid")).agg(F.count("*").alias("n"))
+    mine = hr.select("hid", F.col("rec").alias("h")).join(sizes.hint("merge"), "hid").join(contact_counts(th, sizes).hint("merge"), "hid", "left")
+    held = F.pmod(F.xxhash64("oid"), F.lit(3)) == 0
+    parts = om.groupBy(F.col("of").alias("at")).agg(F.count_if(~held).alias("n0"), F.count_if(held).alias("n1")).withColumnRenamed("at", "oid")
+    theirs = obj.select("oid", F.col("rec").alias("o"), _numbers("contacts").alias("theirs")).join(parts.hint("merge"), "oid")
+
+    def featured(pairs: DataFrame) -> DataFrame:
+        # joins merge throughout: records and tokens compress well, and what looks small enough to broadcast is not
+        both = spread(pairs.join(mine.hint("merge"), "hid"), "oid").join(theirs.hint("merge"), "oid").select("hid", "oid", "h", "o", (F.col("n") * F.col("n0")).alias("taught"), (F.col("n") * F.col("n1")).alias("tested"), *[_fewest(k).alias(f"k{k}") for k in range(3)])
+        return cut(both.select("hid", "oid", "taught", "tested", F.pandas_udf(_features, "long")("h", "o", "k0", "k1", "k2").alias("mask")))
+
+    made = featured(candidate_pairs(th, to))
+    w, b = fit_sample(made)
+    for kinds, most in highest(w, b).items():
+        if counts(most):
+            made = made.unionByName(featured(crowd_rest(th, to, kinds))).dropDuplicates(["hid", "oid"])
+    return made.select("hid", "oid", "mask"), w, b
+
+
 def match_entities(hotels: DataFrame, objects: DataFrame) -> DataFrame:
     """(oid, hid, score, probability) of every candidate pair, score being the probability's logit, at most one per object and hotel.
 
@@ -539,24 +600,25 @@ def match_entities(hotels: DataFrame, objects: DataFrame) -> DataFrame:
     has are left out where the weights keep each of them from being a link and from
     standing in the way of one, and made otherwise.
     """
-    hotels = hotels.dropDuplicates(["hid"])
-    reading = objects.dropDuplicates(["oid", "rec"]).withColumn("reading", F.xxhash64("oid", "rec"))
-    th, to = with_tokens(hotels, reading.drop("oid").withColumnRenamed("reading", "oid"))
-    mine = hotels.select("hid", F.col("rec").alias("h")).join(contact_counts(th).hint("merge"), "hid", "left")
-    theirs = reading.select("reading", "oid", F.col("rec").alias("o"), _numbers("contacts").alias("theirs"))
+    h, o = collapsed(hotels.dropDuplicates(["hid"]), "hid"), collapsed(objects, "oid")
+    made, w, b = scored_records(h, o)
+    of = made.withColumnsRenamed({"hid": "h", "oid": "o"}).join(h[0].withColumnRenamed("of", "h"), "h").join(o[0].withColumnRenamed("of", "o"), "o")
+    pairs = cut(of.select("hid", "oid", _unpacked("mask").alias("x")))
+    return _scored(pairs, w, b).groupBy("oid", "hid").agg(F.max("score").alias("score"), F.max("probability").alias("probability"))
 
-    def featured(pairs: DataFrame) -> DataFrame:
-        # joins merge throughout: records and tokens compress well, and what looks small enough to broadcast is not
-        read = pairs.withColumnRenamed("oid", "reading")
-        both = spread(read.join(mine.hint("merge"), "hid"), "reading").join(theirs.hint("merge"), "reading").select("hid", "oid", "h", "o", *[_fewest(k).alias(f"k{k}") for k in range(3)])
-        return cut(both.select("hid", "oid", F.pandas_udf(_features, "array<double>")("h", "o", "k0", "k1", "k2").alias("x")))
 
-    made = featured(candidate_pairs(th, to))
-    w, b = fit_sample(made)
-    for kinds, most in highest(w, b).items():
-        if counts(most):
-            made = made.unionByName(featured(crowd_rest(th, to, kinds)))
-    return _scored(made, w, b).groupBy("oid", "hid").agg(F.max("score").alias("score"), F.max("probability").alias("probability"))
+def leading(hotels: tuple[DataFrame, DataFrame], objects: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """Of match_entities' pairs all that best_links looks at: of each object the likeliest hotel, and one that is next to it.
+
+    Of equal hotels the greatest and the least stand for all, as all of them
+    score alike; and of each record the two highest, before its objects fetch them.
+    """
+    made, w, b = scored_records(hotels, objects)
+    ends = hotels[0].groupBy("of").agg(F.array_distinct(F.array(F.max("hid"), F.min("hid"))).alias("ends"))
+    scored = _scored(made.select("hid", "oid", _unpacked("mask").alias("x")), w, b).join(ends.withColumnRenamed("of", "hid").hint("merge"), "hid").withColumn("hid", F.explode("ends"))
+    at = F.row_number().over(Window.partitionBy("oid").orderBy(F.col("score").desc(), F.col("hid").desc()))
+    two = scored.select("hid", F.col("oid").alias("of"), "oid", "score", "probability").withColumn("at", at).where("at <= 2").drop("at", "oid")
+    return cut(objects[0].join(two.hint("merge"), "of").groupBy("oid", "hid").agg(F.max("score").alias("score"), F.max("probability").alias("probability")))
 
 
 def fit_sample(made: DataFrame) -> tuple[np.ndarray, float]:
@@ -566,10 +628,10 @@ def fit_sample(made: DataFrame) -> tuple[np.ndarray, float]:
     on both sides. A pattern weighs as its pairs do, so probabilities refer to
     the pairs there are; only patterns leave the executors, at most FIT_PAIRS for each side.
     """
-    seen = made.withColumn("held", F.pmod(F.xxhash64("oid"), F.lit(3)) == 0).groupBy("held", "x").agg(F.count("*").alias("n"))
+    seen = cut(made.groupBy("mask").agg(F.sum("taught").alias("taught"), F.sum("tested").alias("tested")).withColumn("x", _unpacked("mask")))
     halves = []
-    for held in (False, True):
-        rows = seen.where(F.col("held") == held).withColumn("at", F.xxhash64("x")).orderBy("at", "x").limit(FIT_PAIRS).collect()
+    for part in ("taught", "tested"):
+        rows = seen.where(F.col(part) > 0).select("x", F.col(part).alias("n")).withColumn("at", F.xxhash64("x")).orderBy("at", "x").limit(FIT_PAIRS).collect()
         x = np.array([r.x for r in rows]).reshape(-1, len(FEATURES))
         y, n = weak_label(x) if len(x) else np.zeros(0, int), np.array([r.n for r in rows], float)
         halves.append((x[y >= 0], y[y >= 0], n[y >= 0]))
@@ -593,20 +655,27 @@ def best_links(scored: DataFrame) -> DataFrame:
     return top.join(rival.hint("merge"), "oid", "left").where(sure).select("oid", "best.hid", "best.probability")
 
 
-def source_records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def read_records(df: DataFrame, k: str, values: tuple[str, ...], read: Callable[..., pd.DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """As collapsed, of rows of k and values; each distinct text of values is read once."""
+    keyed = df.select(k, *values, F.xxhash64(F.to_json(F.struct(*values))).alias("text"))
+    got = cut(keyed.drop(k).dropDuplicates(["text"]).select("text", F.pandas_udf(read, _RECORD)(*values).alias("r")).select("text", F.xxhash64("r.rec").alias("of"), "r.*"))
+    members = keyed.select(k, "text").distinct().join(got.select("text", "of").hint("merge"), "text").select(k, "of").distinct()
+    return cut(members), cut(got.drop("text").dropDuplicates(["of"]))
+
+
+def source_records(spark: SparkSession, sf_dir: str) -> tuple[tuple[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]:
     canonical, geo = table(spark, sf_dir, "canonical_hotels"), table(spark, sf_dir, "hotel_geo_candidates")
     contacts = F.struct(*[F.col(f"contacts.{k}").alias(k) for k in ("phones", "emails", "websites")])
     where = F.struct(*[F.col(f"location.{k}").alias(k) for k in ("address", "postcode", "locality")])
-    r = F.pandas_udf(_hotels, _RECORD)("canonicalname", contacts, where, F.col("capacity.rooms").cast("double"))
-    hotels = canonical.select(F.col("_id").alias("hid"), r.alias("r")).select("hid", "r.*")
-    seen = geo.select(F.col("_id").alias("oid"), "name", F.col("sourceproperties").alias("tags")).distinct()
-    objects = seen.select("oid", F.pandas_udf(_objects, _RECORD)("name", "tags").alias("r")).select("oid", "r.*")
-    return cut(hotels), cut(objects)
+    hotels = canonical.select(F.col("_id").alias("hid"), "canonicalname", contacts.alias("contacts"), where.alias("location"), F.col("capacity.rooms").cast("double").alias("rooms"))
+    members, records = read_records(hotels, "hid", ("canonicalname", "contacts", "location", "rooms"), _hotels)
+    objects = geo.select(F.col("_id").alias("oid"), "name", F.col("sourceproperties").alias("tags"))
+    return (cut(members.groupBy("hid").agg(F.min("of").alias("of"))), records), read_records(objects, "oid", ("name", "tags"), _objects)
 
 
 def p1_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(candidateid, canonicalhotelid, probability): each map object's hotel with its confidence."""
-    return best_links(match_entities(*source_records(spark, sf_dir))).select(F.col("oid").alias("candidateid"), F.col("hid").alias("canonicalhotelid"), F.round("probability", 6).alias("probability"))
+    return best_links(leading(*source_records(spark, sf_dir))).select(F.col("oid").alias("candidateid"), F.col("hid").alias("canonicalhotelid"), F.round("probability", 6).alias("probability"))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

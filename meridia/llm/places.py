@@ -72,6 +72,11 @@ def _edits(a: str, b: str) -> int:
     x, y = _letters(a), _letters(b)
     if (x & ~y).bit_count() > 2 or (y & ~x).bit_count() > 2:
         return 3
+    # what both begin and end with costs nothing
+    n = next((i for i, (c, d) in enumerate(zip(a, b)) if c != d), min(len(a), len(b)))
+    a, b = a[n:], b[n:]
+    n = next((i for i, (c, d) in enumerate(zip(reversed(a), reversed(b))) if c != d), min(len(a), len(b)))
+    a, b = a[: len(a) - n], b[: len(b) - n]
     before, row = None, list(range(len(b) + 1))
     for i, c in enumerate(a, 1):
         new = [i]

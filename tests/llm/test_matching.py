@@ -207,3 +207,73 @@ def test_no_left_out_pair_reaches_the_highest(spark):
             for a, b in pairs:
                 shared = {keys[t[0]][0]: 2 for t in set(left[a].contacts) & set(right[b].contacts)}
                 assert w @ M.features(json.loads(left[a].rec), json.loads(right[b].rec), shared) + 0.1 <= most + 1e-9
+
+
+def test_keys_of_cores_lose_none_and_unlike_ones_hardly_meet():
+    """Cores within the edits that core_relation allows share a key, whatever their length; of unlike ones, whose bands met by the hundred, none of these do."""
+    import random
+
+    rnd = random.Random(5)
+    core = lambda n: "".join(rnd.choice("BDFGHKLMNPRSTVZ") + rnd.choice("AEIOU") for _ in range(n))[: rnd.choice((2 * n, 2 * n - 1))]
+    cores = [core(n) for n in (2, 3, 4, 4, 5, 6, 7) for _ in range(150)]
+
+    def edited(t):
+        i = rnd.randrange(len(t))
+        return rnd.choice((t[:i] + t[i + 1 :], t[:i] + "X" + t[i + 1 :], t[:i] + "OU" + t[i:], t[:i] + t[i : i + 2][::-1] + t[i + 2 :]))
+
+    for c in cores:
+        for typed in (c, edited(c), edited(edited(c)), edited(c).replace("K", "C")):
+            if typed and M.core_relation(c, typed) and len(c) <= M.SHORT:
+                assert set(M.core_bands(c)) & set(M.core_bands(typed)), (c, typed)
+    keys = [(c, set(M.core_bands(c))) for c in sorted(set(cores)) if 8 <= len(c) <= M.SHORT]
+    met = [(a, b) for i, (a, x) in enumerate(keys) for b, y in keys[:i] if x & y]
+    assert len(met) <= 20, len(met)
+
+
+def test_edits_are_those_of_the_whole_words():
+    """What both words begin and end with is left aside; the edits stay those of a plain count over all letters."""
+    import random
+
+    from meridia.llm.places import _edits
+
+    def whole(a, b):
+        d = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i * j}
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+        return min(3, d[len(a), len(b)])
+
+    rnd = random.Random(6)
+    for _ in range(4000):
+        a, b = ("".join(rnd.choice("AB" if rnd.random() < 0.9 else "C") for _ in range(rnd.randrange(8))) for _ in range(2))
+        assert _edits(a, b) == whole(a, b), (a, b)
+
+
+def test_copies_cost_no_pairs_and_change_no_link(spark, monkeypatch):
+    """Equal hotels and equal objects make one pair of records; the links are best_links' over every pair, and of equal hotels none is one."""
+    h, o, truth = frames(spark)
+    objects = o.unionAll(o.select(F.concat(F.lit("copy "), "oid").alias("oid"), *[c for c in o.columns if c != "oid"]))
+    hotels = h.unionAll(h.where("hid = 'h7'").select(F.lit("h7 again").alias("hid"), *[c for c in h.columns if c != "hid"]))
+    made = []
+    fit_sample = M.fit_sample
+    monkeypatch.setattr(M, "fit_sample", lambda df: made.append(df.count()) or fit_sample(df))
+    M.match_entities(h, o).count()
+    want = {tuple(r) for r in M.best_links(M.match_entities(hotels, objects)).collect()}
+    assert made[0] == made[1]
+    got = M.best_links(M.leading(M.collapsed(hotels, "hid"), M.collapsed(objects, "oid"))).collect()
+    assert {tuple(r) for r in got} == want
+    assert {(r.oid, r.hid) for r in got} >= {(f"copy {r.oid}", r.hid) for r in got if not r.oid.startswith("copy ")} and not {r.hid for r in got} & {"h7", "h7 again"}
+
+
+def test_a_pair_made_twice_counts_once(spark, monkeypatch):
+    """The rest of a crowd repeats pairs made before; the next best hotel is another one nevertheless."""
+    n, h, o = crowd_of_a_host(spark)
+    weights = {"bias": -1.0, "link_shared": 1.0, "rooms_same": 2.0}
+    monkeypatch.setattr(M, "fit_sample", lambda made: (np.array([weights.get(k, -2.0 if k.endswith("_other") else 0.0) for k in M.FEATURES]), 0.0))
+    twin = h.where("hid = 'h2'").select(F.lit("twin").alias("hid"), *[c for c in h.columns if c != "hid"])
+    rest = M.crowd_rest
+    monkeypatch.setattr(M, "crowd_rest", lambda *x: (r := rest(*x)).unionAll(r))
+    assert [(r.oid, r.hid) for r in M.best_links(M.leading(M.collapsed(h, "hid"), M.collapsed(o, "oid"))).collect()] == [("o", "h2")]
+    assert not M.best_links(M.leading(M.collapsed(h.unionAll(twin), "hid"), M.collapsed(o, "oid"))).count()
