@@ -305,9 +305,9 @@ def calibrate(score: np.ndarray, y: np.ndarray, n: np.ndarray | None = None) ->
 
 
 _RECORD = "rec string, contacts array<string>, cores array<string>, words array<string>, streets array<string>, by_name array<string>, by_other array<string>"
-#: The three lowest bits of a token tell its kind: telephone, link, mail, name, address, word of a hotel's links or mails that is not its name, or something that only stands beside another.
+#: The three lowest bits of a token tell its kind: telephone, link, mail, name, address, word of a hotel's links or mails that is not its name, name of two edits or one in a short core, or something that only stands beside another.
 _KINDS = {"p": 0, "u": 1, "h": 1, "m": 2, "n": 3, "a": 4, "w": 5}
-_NAME, _ADDRESS, _WORD, _BESIDE = 3, 4, 5, 7
+_NAME, _ADDRESS, _WORD, _TWO, _BESIDE = 3, 4, 5, 6, 7
 #: Kinds of tokens that no feature by itself speaks for once many hotels have them.
 _WEAK = (0, 1, 2, _WORD)
 
@@ -352,14 +352,14 @@ def _number(text: Column, kind: Column) -> Column:
     return F.xxhash64(text).bitwiseAND(F.lit(~7)).bitwiseOR(kind.cast("long"))
 
 
-def _numbers(texts: str, kind: int | None = None) -> Column:
+def _numbers(texts: str | Column, kind: int | None = None) -> Column:
     letter = lambda x: F.substring(x, 1, 2)
     of = lambda x: F.lit(kind) if kind is not None else F.when(letter(x) == "p:", 0).when(letter(x).isin("u:", "h:"), 1).when(letter(x) == "m:", 2).otherwise(_BESIDE)
     return F.transform(texts, lambda x: _number(x, of(x)))
 
 
-def like_texts(held: DataFrame, asked: DataFrame, keys: Callable[[str], list[int]], alike: Callable[[str, str], bool]) -> DataFrame:
-    """(asked, held): distinct texts that share a key and are alike; each text of both sides meets itself.
+def like_texts(held: DataFrame, asked: DataFrame, keys: Callable[[str], list[int]], alike: Callable[[str, str], int]) -> DataFrame:
+    """(asked, held, like): distinct texts that share a key and are alike, and how much; each text of both sides meets itself, for which like is 3.
 
     held and asked: one column of these names, repeated or not. Texts are made
     distinct before they get keys, however many records bear them, and verified
@@ -377,9 +377,9 @@ def like_texts(held: DataFrame, asked: DataFrame, keys: Callable[[str], list[int
     h, a = cut(once(held, "held")), cut(once(asked, "asked"))
     # texts are distinct here, so only very many names of one make could fill a key; such a partition adaptive execution splits
     met = keyed(h, "held").join(keyed(a, "asked").hint("merge"), "key").where("held <> asked").select("held", "asked").distinct()
-    check = F.pandas_udf(lambda a, b: pd.Series([alike(x, y) for x, y in zip(a, b)], dtype=bool), "boolean")
-    same = h.join(a.hint("merge"), F.col("held") == F.col("asked")).select("held", "asked")
-    return same.unionAll(spread(met).where(check("held", "asked")))
+    check = F.pandas_udf(lambda a, b: pd.Series([int(alike(x, y)) for x, y in zip(a, b)], dtype="int32"), "int")
+    same = h.join(a.hint("merge"), F.col("held") == F.col("asked")).select("held", "asked", F.lit(3).alias("like"))
+    return same.unionAll(spread(met).withColumn("like", check("held", "asked")).where("like > 0"))
 
 
 def spread(df: DataFrame, *by: str) -> DataFrame:
@@ -424,27 +424,31 @@ def with_tokens(hotels: DataFrame, objects: DataFrame) -> tuple[DataFrame, DataF
     """
     text = lambda df, c, n: df.select(F.explode(c).alias(n))
     pairs = [
-        like_texts(text(hotels, F.concat("cores", "words"), "held"), text(objects, "cores", "asked"), core_bands, lambda a, b: core_relation(a, b) > 0),
+        like_texts(text(hotels, F.concat("cores", "words"), "held"), text(objects, "cores", "asked"), core_bands, core_relation),
         like_texts(text(hotels, "streets", "held"), text(objects, "streets", "asked"), _street_bands, _street_alike),
     ]
-    hotels = hotels.withColumn("w", _numbers("words", _WORD))
+    hotels = hotels.withColumn("w", _numbers("words", _WORD)).withColumn("two", _numbers(F.concat("cores", "words"), _TWO))
     for c, kind, near in zip(("cores", "streets"), "na", pairs):
         hotels = hotels.withColumn(kind, _numbers(c, _KINDS[kind]))
-        found = objects.select("oid", F.explode(c).alias("asked")).join(near.hint("merge"), "asked").groupBy("oid").agg(F.collect_set(_number(F.col("held"), F.lit(_KINDS[kind]))).alias(kind))
-        objects = objects.join(found.hint("merge"), "oid", "left").withColumn(kind, F.coalesce(kind, F.array().cast("array<long>")))
+        two = F.lit(kind == "n") & (F.col("like") == 1)
+        of = {kind: F.when(~two, _number(F.col("held"), F.lit(_KINDS[kind])))} | ({"two": F.when(two, _number(F.col("held"), F.lit(_TWO)))} if kind == "n" else {})
+        found = objects.select("oid", F.explode(c).alias("asked")).join(near.hint("merge"), "asked").groupBy("oid").agg(*[F.collect_set(v).alias(k) for k, v in of.items()])
+        objects = objects.join(found.hint("merge"), "oid", "left").withColumns({k: F.coalesce(k, F.array().cast("array<long>")) for k in of})
     objects = objects.withColumn("w", F.transform("n", lambda t: t.bitwiseAND(F.lit(~7)).bitwiseOR(F.lit(_WORD).cast("long"))))
+    facts = F.filter("by_name", lambda x: x.rlike(r"^([puhm]:|a[^|]*$|c|r)"))
     placed = F.filter("by_other", lambda x: x.rlike(r"^(any:|unnamed:|c|a[^|]*\|)"))
-    out = lambda df, k: df.select(k, F.array_distinct(F.concat(_numbers("contacts"), "n", "a", "w")).alias("tokens"), _numbers("by_name").alias("by_name"), F.concat(_numbers("by_other"), "n").alias("by_other"), F.transform(placed, lambda x: _number(x, F.lit(_BESIDE))).alias("by_contact"))
+    out = lambda df, k: df.select(k, F.array_distinct(F.concat(_numbers("contacts"), "n", "a", "w", "two")).alias("tokens"), _numbers("by_name").alias("by_name"), F.concat(_numbers("by_other"), "n", "two").alias("by_other"), F.transform(placed, lambda x: _number(x, F.lit(_BESIDE))).alias("by_contact"), _numbers(facts).alias("by_two"))
     return cut(out(hotels, "hid")), cut(out(objects, "oid"))
 
 
 def candidate_pairs(hotels: DataFrame, objects: DataFrame) -> DataFrame:
     """(hid, oid): pairs that share a token, each once, but for those that share only what a crowd has.
 
-    hotels: hid, tokens, by_name, by_other, by_contact; objects: oid and the
+    hotels: hid, tokens, by_name, by_other, by_contact, by_two; objects: oid and the
     same. A token of more than HEAVY hotels joins only with something else that
     both sides have: of by_name for a name's, of by_other for an address's, of
-    by_contact for a contact's or a word's. Such pairs share no name, address or
+    by_contact for a contact's or a word's. So does each token of names two edits
+    apart, of by_two, as such names are the more the closer names lie. Such pairs share no name, address or
     light contact besides, or they would meet by that. The others are crowd_rest's,
     and counts tells whether any could matter. Combinations of
     more than TOGETHER hotels are joined by crowded_pairs, so that a pair that
@@ -452,7 +456,8 @@ def candidate_pairs(hotels: DataFrame, objects: DataFrame) -> DataFrame:
     """
     th = hotels.select("hid", F.explode("tokens").alias("token"))
     count = cut(th.groupBy("token").agg(F.count("*").alias("n")))
-    light, heavy = count.where(F.col("n") <= HEAVY), count.where(F.col("n") > HEAVY)
+    alone = (F.col("n") <= HEAVY) & (_kind(F.col("token")) != _TWO)
+    light, heavy = count.where(alone), count.where(~alone)
     to = objects.select("oid", F.explode("tokens").alias("token"))
     easy = th.join(light.hint("merge"), "token").join(to.hint("merge"), "token").select("hid", "oid")
     if heavy.isEmpty():
@@ -461,8 +466,8 @@ def candidate_pairs(hotels: DataFrame, objects: DataFrame) -> DataFrame:
     def second(df: DataFrame, side: DataFrame, k: str) -> DataFrame:
         # the few rows of heavy tokens fetch what stands beside them, rather than all rows carry it
         kind = _kind(F.col("token"))
-        beside = F.when(kind == _NAME, F.col("by_name")).when(kind == _ADDRESS, F.col("by_other")).otherwise(F.col("by_contact"))
-        return df.join(heavy.select("token"), "token").join(side.select(k, "by_name", "by_other", "by_contact").hint("merge"), k).select(k, "token", F.explode(F.array_distinct(beside)).alias("second")).where("second <> token")
+        beside = F.when(kind == _NAME, F.col("by_name")).when(kind == _ADDRESS, F.col("by_other")).when(kind == _TWO, F.col("by_two")).otherwise(F.col("by_contact"))
+        return df.join(heavy.select("token"), "token").join(side.select(k, "by_name", "by_other", "by_contact", "by_two").hint("merge"), k).select(k, "token", F.explode(F.array_distinct(beside)).alias("second")).where("second <> token")
 
     mine, theirs = cut(second(th, hotels, "hid")), second(to, objects, "oid")
     both = mine.groupBy("token", "second").agg(F.count("*").alias("both"))
@@ -480,7 +485,8 @@ def highest(w: np.ndarray, b: float) -> dict[tuple[int, ...], float]:
     Both sides agree on no address, and no contact of one hotel. Of a crowded
     contact or word the names are others, as names that are alike share a token;
     of a crowded name the other facts disagree or are missing, and its qualifiers
-    or number are others.
+    or number are others. Of names two edits apart, however many have them, contacts,
+    house number, postcode and rooms disagree or are missing.
     """
     v = dict(zip(FEATURES, w))
     any_of = lambda *names: max(0.0, *(v[k] for k in names))
@@ -489,7 +495,8 @@ def highest(w: np.ndarray, b: float) -> dict[tuple[int, ...], float]:
     shared = sum(any_of(*(f"{k}_{x}" for x in own)) for k in ("phone", "link", "mail"))
     weak = against + shared + any_of("name_other") + any_of("derived_other") + any_of("code_same", "code_other") + any_of("rooms_same", "rooms_other")
     name = against + any_of("name_family", "name_other") + any_of("derived_core", "derived_family", "derived_other") + any_of("code_other") + any_of("rooms_other")
-    return {_WEAK: weak, (_NAME,): name}
+    two = against + any_of("name_two", "name_family", "name_other") + any_of("derived_core", "derived_family", "derived_other") + any_of("code_other") + any_of("rooms_other")
+    return {_WEAK: weak, (_NAME,): name, (_TWO,): two}
 
 
 def counts(score: float) -> bool:
@@ -498,10 +505,10 @@ def counts(score: float) -> bool:
 
 
 def crowd_rest(hotels: DataFrame, objects: DataFrame, kinds: tuple[int, ...]) -> DataFrame:
-    """(hid, oid): all pairs that share a token of these kinds and of more than HEAVY hotels, each once; as many as the crowd's hotels times its objects."""
+    """(hid, oid): all pairs that share a token of these kinds and of more than HEAVY hotels, or of any number for names two edits apart, each once; as many as the crowd's hotels times its objects."""
     of = lambda df, k: df.select(k, F.explode("tokens").alias("token")).where(_kind(F.col("token")).isin(*kinds))
     th = of(hotels, "hid")
-    heavy = cut(th.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > HEAVY).select("token", F.lit(0).alias("second")))
+    heavy = cut(th.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > (0 if _TWO in kinds else HEAVY)).select("token", F.lit(0).alias("second")))
     if heavy.isEmpty():
         return th.select("hid", F.lit(0).cast("long").alias("oid")).limit(0)
     return crowded_pairs(th.join(heavy.hint("merge"), "token"), of(objects, "oid").join(heavy.hint("merge"), "token")).distinct()

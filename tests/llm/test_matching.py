@@ -277,3 +277,25 @@ def test_a_pair_made_twice_counts_once(spark, monkeypatch):
     monkeypatch.setattr(M, "crowd_rest", lambda *x: (r := rest(*x)).unionAll(r))
     assert [(r.oid, r.hid) for r in M.best_links(M.leading(M.collapsed(h, "hid"), M.collapsed(o, "oid"))).collect()] == [("o", "h2")]
     assert not M.best_links(M.leading(M.collapsed(h.unionAll(twin), "hid"), M.collapsed(o, "oid"))).count()
+
+
+def test_names_two_edits_apart_meet_by_a_second_fact_or_where_they_could_matter(spark, monkeypatch):
+    """Of hotels whose names lie two edits from an object's, those that share a fact are pairs at once, the others score no more than highest tells, and come where the weights let them count."""
+    rec = "hid string, n string, c struct<phones:array<string>,emails:array<string>,websites:array<string>>, l struct<address:string,postcode:string,locality:string>, r double"
+    none = {"phones": [], "emails": [], "websites": []}
+    at = lambda code: {"address": None, "postcode": code, "locality": CITIES[0]}
+    hotels = [("far", "KOLAMUPES HOTEL", none, at("4001"), 30.0), ("code", "KOLAMUPES HOTEL", none, at("4000"), 30.0), ("rooms", "KOLAMUPES HOTEL", none, at(None), 12.0), ("phone", "KOLAMUPES HOTEL", none | {"phones": ["+35722123456"]}, at(None), None), ("same", "KOLANUMES HOTEL", none, at("4001"), 30.0)]
+    h = spark.createDataFrame(hotels, rec).select("hid", F.pandas_udf(M._hotels, M._RECORD)("n", "c", "l", "r").alias("x")).select("hid", "x.*")
+    o = spark.createDataFrame([("o", "Kolanumes Hotel", json.dumps({"tourism": "hotel", "addr:city": CITIES[0], "addr:postcode": "4000", "rooms": "12", "phone": "22 123456"}))], "oid string, n string, t string")
+    obj = o.select("oid", F.pandas_udf(M._objects, M._RECORD)("n", "t").alias("x")).select("oid", "x.*")
+    th, to = M.with_tokens(h, obj)
+    assert sorted(r.hid for r in M.candidate_pairs(th, to).collect()) == ["code", "phone", "rooms", "same"]
+    assert {r.hid for r in M.crowd_rest(th, to, (M._TWO,)).collect()} == {"far", "code", "rooms", "phone"}
+    left, right = ({r[0]: json.loads(r.rec) for r in df.collect()} for df in (h, obj))
+    for seed in range(20):
+        w = np.random.default_rng(seed).normal(size=len(M.FEATURES))
+        assert w @ M.features(left["far"], right["o"], {}) + 0.1 <= M.highest(w, 0.1)[(M._TWO,)] + 1e-9
+    for two, n in ((3.0, 5), (0.0, 4)):
+        weights = {"bias": -1.0, "name_two": two}
+        monkeypatch.setattr(M, "fit_sample", lambda made: (np.array([weights.get(k, 0.0) for k in M.FEATURES]), 0.0))
+        assert M.match_entities(h, obj).count() == n
